@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.llm.increment import repeated_texts
 from foliant.llm.leakage import leaked_items
 
 
@@ -12,11 +13,16 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_texts(_table(spark, folder, "documents")).select("dup_of", "doc_id")
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_items(_table(spark, folder, "documents"), _table(spark, folder, "eval_items")).select("doc_id", "item_id")
 
 
 QUERIES = {
+    "p6_found": p6_found,
     "p8_found": p8_found,
 }
 
