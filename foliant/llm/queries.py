@@ -5,14 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.llm.components import connected_groups, similarity_links
 from foliant.llm.increment import repeated_texts
 from foliant.llm.leakage import leaked_items
+from foliant.llm.spans import shared_share, shared_spans
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_spans(_table(spark, folder, "match_segments"))
+
+
+def p1_share(spark: SparkSession, folder: str) -> DataFrame:
+    """How much of each segment is found elsewhere, all segments included."""
+    segments = _table(spark, folder, "match_segments")
+    return shared_share(segments, shared_spans(segments)).withColumn("shared_share", F.round("shared_share", 6))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    links = similarity_links(_table(spark, folder, "document_similarity"))
+    return connected_groups(links).select(F.col("node").alias("doc_id"), "group_id")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_texts(_table(spark, folder, "documents")).select("dup_of", "doc_id")
 
@@ -22,6 +39,9 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_share": p1_share,
+    "p3_found": p3_found,
     "p6_found": p6_found,
     "p8_found": p8_found,
 }
