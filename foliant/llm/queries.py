@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliant.llm.components import connected_groups, similarity_links
 from foliant.llm.increment import repeated_texts
 from foliant.llm.leakage import leaked_items
+from foliant.llm.neighbours import similar_vectors
 from foliant.llm.spans import shared_share, shared_spans
 
 
@@ -25,6 +26,15 @@ def p1_share(spark: SparkSession, folder: str) -> DataFrame:
     return shared_share(segments, shared_spans(segments)).withColumn("shared_share", F.round("shared_share", 6))
 
 
+#: Full length of each embedding model's vectors.
+MODEL_DIMS = {"visemb-plus-a2": 512, "visemb-plus-a1": 512, "visemb-base-a1": 256}
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = similar_vectors(_table(spark, folder, "image_features"), MODEL_DIMS)
+    return found.select(F.col("a").alias("image_a"), F.col("b").alias("image_b"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     links = similarity_links(_table(spark, folder, "document_similarity"))
     return connected_groups(links).select(F.col("node").alias("doc_id"), "group_id")
@@ -41,6 +51,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_share": p1_share,
+    "p2_found": p2_found,
     "p3_found": p3_found,
     "p6_found": p6_found,
     "p8_found": p8_found,
