@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.components import connected_groups, similarity_links
+from foliant.llm.confusables import not_plain, values_of
 from foliant.llm.increment import repeated_texts
 from foliant.llm.leakage import leaked_items
 from foliant.llm.neighbours import similar_vectors
@@ -44,6 +45,10 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_texts(_table(spark, folder, "documents")).select("dup_of", "doc_id")
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return not_plain(values_of({"xmmc": (_table(spark, folder, "project_info"), "id"), "gzdw": (_table(spark, folder, "expert_info"), "id")}))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_items(_table(spark, folder, "documents"), _table(spark, folder, "eval_items")).select("doc_id", "item_id")
 
@@ -54,6 +59,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p6_found": p6_found,
+    "p7_found": p7_found,
     "p8_found": p8_found,
 }
 
