@@ -8,6 +8,7 @@ Pairs that collide in at least THRESHOLD arrays are verified by their exact cosi
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -21,9 +22,12 @@ from foliant.session import Stash, spread
 DIRECTIONS = 2048
 ROOTS = 24
 THRESHOLD = 2
-#: Bits of the sign sketch that an entry carries, and how many standard deviations its Hamming distance may lie above
-#: what the least cosine gives. 3.5 of them lose 0.02 % of pairs just at the least cosine, fewer above it.
-SKETCH, SLACK = 128, 3.5
+#: Bits of the sign sketch that an entry carries, in words of 64, and how many standard deviations its Hamming distance
+#: may lie above what the least cosine gives. 3 of them lose 0.13 % of pairs just at the least cosine, fewer above it.
+WORDS, SLACK = 4, 3.0
+SKETCH = 64 * WORDS
+#: Ids broadcast at most (16 bytes each); beyond, the join is by shuffle.
+BROADCAST_IDS = 500_000
 #: Vectors on either side of a window at first, and the growth per step (virtual rehashing). The window stops growing
 #: when it spans all of the radius that the least cosine allows, or holds ENOUGH close vectors by their sketches.
 WINDOW, GROWTH, ENOUGH = 256, 4, 48
@@ -49,49 +53,53 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-_VECTOR = "id string, model string, key binary, unit binary"
+def _vectors(batches: Iterator[pa.RecordBatch], dims: dict[str, int], size: int = 1000) -> Iterator[tuple[list[str], str, np.ndarray, np.ndarray]]:
+    """(ids, model, digests, unit vectors in float32) of the usable vectors, in small blocks."""
+    for whole_batch in batches:
+        for a in range(0, whole_batch.num_rows, size):
+            batch = whole_batch.slice(a, size)
+            ids, models, blobs = (batch.column(c).to_pylist() for c in ("id", "model", "blob"))
+            for model in sorted(set(models) & set(dims)):
+                rows, x = decode([b if m == model else None for m, b in zip(models, blobs, strict=True)], dims[model])
+                if len(rows):
+                    u = unit(x).astype("<f4")
+                    salt = model.encode()
+                    digest = b"".join(hashlib.blake2b(v.tobytes(), digest_size=8, key=salt[:64]).digest() for v in u)
+                    yield [ids[i] for i in rows], model, np.frombuffer(digest, "<i8"), u
 
 
-def _units(dims: dict[str, int]):
-    import hashlib
+def _names(dims: dict[str, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, model, vec, _ in _vectors(batches, dims):
+            yield pa.record_batch([pa.array(ids), pa.array([model] * len(ids)), pa.array(vec)], names=["id", "model", "vec"])
+
+    return run
 
+
+def _units(dims: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole_batch in batches:
-            for a in range(0, whole_batch.num_rows, 2000):
-                batch = whole_batch.slice(a, 2000)
-                ids, models, blobs = (batch.column(c).to_pylist() for c in ("id", "model", "blob"))
-                for model in sorted(set(models)):
-                    if model not in dims:
-                        continue
-                    rows, x = decode([b if m == model else None for m, b in zip(models, blobs, strict=True)], dims[model])
-                    if not len(rows):
-                        continue
-                    u = unit(x).astype("<f4")
-                    raw = [v.tobytes() for v in u]
-                    yield pa.record_batch([pa.array([ids[i] for i in rows]), pa.array([model] * len(rows)), pa.array([hashlib.blake2b(r, digest_size=16).digest() for r in raw], pa.binary()), pa.array(raw, pa.binary())], names=["id", "model", "key", "unit"])
+        for _, _, vec, u in _vectors(batches, dims):
+            yield pa.record_batch([pa.array(vec), pa.array([v.tobytes() for v in u], pa.binary())], names=["vec", "unit"])
 
     return run
 
 
 def _project(dims: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole_batch in batches:
-            for a in range(0, whole_batch.num_rows, 1000):
-                batch = whole_batch.slice(a, 1000)
-                models = np.array(batch.column("model").to_pylist())
-                for model in sorted(set(models.tolist())):
-                    rows = np.flatnonzero(models == model)
-                    units = batch.column("unit").take(pa.array(rows)).to_pylist()
-                    y = np.frombuffer(b"".join(units), "<f4").reshape(len(rows), dims[model]) @ _directions(dims[model])
-                    sketch = np.packbits(y[:, DIRECTIONS:] > 0, axis=1).view(np.int64)
-                    y = y[:, :DIRECTIONS]
-                    top = np.argpartition(-np.abs(y), ROOTS, axis=1)[:, :ROOTS]
-                    value = np.take_along_axis(y, top, 1)
-                    take = pa.array(np.repeat(rows, ROOTS))
-                    yield pa.record_batch(
-                        [batch.column("model").take(take), pa.array((top * 2 + (value < 0)).ravel().astype(np.int32)), batch.column("vec").take(take), pa.array(np.abs(value).ravel()), *(pa.array(np.repeat(sketch[:, i], ROOTS)) for i in range(2))],
-                        names=["model", "array", "vec", "value", "s1", "s2"],
-                    )
+        seen: set[int] = set()  # copies in one partition enter the arrays once
+        for _, model, vec, u in _vectors(batches, dims):
+            first = np.array([i for i, v in enumerate(vec.tolist()) if not (v in seen or seen.add(v))], np.int64)
+            if not len(first):
+                continue
+            vec, y = vec[first], u[first] @ _directions(dims[model])
+            sketch = np.packbits(y[:, DIRECTIONS:] > 0, axis=1).view(np.int64)
+            y = y[:, :DIRECTIONS]
+            top = np.argpartition(-np.abs(y), ROOTS, axis=1)[:, :ROOTS]
+            value = np.take_along_axis(y, top, 1)
+            yield pa.record_batch(
+                [pa.array([model] * (len(vec) * ROOTS)), pa.array((top * 2 + (value < 0)).ravel().astype(np.int32)), pa.array(np.repeat(vec, ROOTS)), pa.array(np.abs(value).ravel()), *(pa.array(np.repeat(sketch[:, i], ROOTS)) for i in range(WORDS))],
+                names=["model", "array", "vec", "value", *(f"s{i}" for i in range(WORDS))],
+            )
 
     return run
 
@@ -99,13 +107,15 @@ def _project(dims: dict[str, int]):
 def _collide(least: float, keep: int):
     angle = np.arccos(least) / np.pi
     far = SKETCH * angle + SLACK * np.sqrt(SKETCH * angle * (1 - angle))
+    soon = SKETCH / 2 * angle + (SLACK + 1) * np.sqrt(SKETCH / 2 * angle * (1 - angle))  # of the first half of the bits
+    half = WORDS // 2
     radius = 3 * np.sqrt(2 * (1 - least))  # of projections on standard normal directions, three deviations
 
     def one(table: pa.Table) -> pa.Table:
-        value = table.column("value").to_numpy()
-        order = np.argsort(value, kind="stable")
-        value, vec = value[order], table.column("vec").to_numpy()[order]
-        s = [table.column(c).to_numpy()[order].view(np.uint64) for c in ("s1", "s2")]
+        order = np.unique(table.column("vec").to_numpy(), return_index=True)[1]
+        order = order[np.argsort(table.column("value").to_numpy()[order], kind="stable")]
+        value, vec = table.column("value").to_numpy()[order], table.column("vec").to_numpy()[order]
+        s = [table.column(f"s{i}").to_numpy()[order].view(np.uint64) for i in range(WORDS)]
         n = len(value)
         out = []
         for a in range(0, n, 512):
@@ -115,10 +125,18 @@ def _collide(least: float, keep: int):
             while len(q):
                 lo, hi = np.maximum(low, q - reach), np.minimum(high, q + reach + 1)
                 first, last = int(lo.min()), int(hi.max())
-                near = np.bitwise_count(s[0][q, None] ^ s[0][None, first:last]) + np.bitwise_count(s[1][q, None] ^ s[1][None, first:last])
-                place = np.arange(first, last)[None, :]
-                near[(place < lo[:, None]) | (place >= hi[:, None]) | (place == q[:, None])] = 255
-                close = near <= far
+                near = np.zeros((len(q), last - first), np.int16)
+                for w in s[:half]:
+                    near += np.bitwise_count(w[q, None] ^ w[None, first:last])
+                x, y = np.nonzero(near <= soon)
+                y_at = y + first
+                inside = (y_at >= lo[x]) & (y_at < hi[x]) & (y_at != q[x])
+                x, y, y_at = x[inside], y[inside], y_at[inside]
+                rest = sum(np.bitwise_count(w[q[x]] ^ w[y_at]).astype(np.int16) for w in s[half:])
+                near[x, y] += rest
+                ok = near[x, y] <= far
+                close = np.zeros(near.shape, bool)
+                close[x[ok], y[ok]] = True
                 done = ((lo == low) & (hi == high)) | (close.sum(1) >= max(keep, ENOUGH))
                 for i in np.flatnonzero(done):
                     hit = np.flatnonzero(close[i])
@@ -159,16 +177,17 @@ def similar_vectors(vectors: DataFrame, dims: dict[str, int], least: float = 0.8
     spark = vectors.sparkSession
     stash = stash or Stash(spark)
     source = vectors.select(F.col(vector_id).cast("string").alias("id"), F.col(model).alias("model"), F.col(blob).alias("blob")).where("id is not null and blob is not null").where(F.col("model").isin(sorted(dims)))
-    units = spread(source).mapInArrow(_units(dims), _VECTOR)
-    units = units.withColumn("vec", F.xxhash64("model", "key"))
-    units = stash.keep(units, "units")
-    one = units.groupBy("id", "model").agg(F.min("vec").alias("vec"))
-    named = stash.keep(one, "named")
-    points = units.dropDuplicates(["vec"]).select("vec", "model", "unit")
-    points = stash.keep(points, "points")
-    entries = points.mapInArrow(_project(dims), "model string, array int, vec long, value float, s1 long, s2 long")
+    source = spread(source)
+    named = source.mapInArrow(_names(dims), "id string, model string, vec long").groupBy("id", "model").agg(F.min("vec").alias("vec"))
+    named = stash.keep(named, "named")
+    entries = source.mapInArrow(_project(dims), "model string, array int, vec long, value float, " + ", ".join(f"s{i} long" for i in range(WORDS)))
     hits = entries.groupBy("model", "array").applyInArrow(_collide(least, 8 * k), "a long, b long")
     pairs = stash.keep(hits.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= THRESHOLD).select("a", "b"), "pairs")
+    met = pairs.select(F.col("a").alias("vec")).union(pairs.select("b")).distinct()
+    ids = stash.keep(named.join(met, "vec").groupBy("vec").agg(F.min("id").alias("id")).select("id").distinct(), "ids")
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    points = source.join(few, "id", "left_semi").mapInArrow(_units(dims), "vec long, unit binary").dropDuplicates(["vec"])
+    points = stash.keep(points, "points")
     side = lambda v, u: points.select(F.col("vec").alias(v), F.col("unit").alias(u))
     close = pairs.join(side("a", "ua"), "a").join(side("b", "ub"), "b").select("a", "b", "ua", "ub").mapInArrow(_cosines, "a long, b long, cosine double").where(F.col("cosine") >= least)
     close = stash.keep(close, "close")
