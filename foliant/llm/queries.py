@@ -10,6 +10,7 @@ from foliant.llm.confusables import not_plain, values_of
 from foliant.llm.increment import repeated_texts
 from foliant.llm.leakage import leaked_items
 from foliant.llm.neighbours import similar_vectors
+from foliant.llm.residue import grouped_values, residue_records
 from foliant.llm.spans import shared_share, shared_spans
 
 
@@ -41,6 +42,11 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return connected_groups(links).select(F.col("node").alias("doc_id"), "group_id")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    values = grouped_values({"text": (_table(spark, folder, "match_segments"), "match_id", "doc_a"), "xmjj": (_table(spark, folder, "project_info"), "id", "cddw_mc")})
+    return residue_records(values).select("field_name", "record_id")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_texts(_table(spark, folder, "documents")).select("dup_of", "doc_id")
 
@@ -58,6 +64,7 @@ QUERIES = {
     "p1_share": p1_share,
     "p2_found": p2_found,
     "p3_found": p3_found,
+    "p4_found": p4_found,
     "p6_found": p6_found,
     "p7_found": p7_found,
     "p8_found": p8_found,
