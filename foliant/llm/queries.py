@@ -9,6 +9,7 @@ from foliant.llm.components import connected_groups, similarity_links
 from foliant.llm.confusables import not_plain, values_of
 from foliant.llm.increment import repeated_texts
 from foliant.llm.leakage import leaked_items
+from foliant.llm.names import named_units
 from foliant.llm.neighbours import similar_vectors
 from foliant.llm.residue import grouped_values, residue_records
 from foliant.llm.spans import shared_share, shared_spans
@@ -47,6 +48,11 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return residue_records(values).select("field_name", "record_id")
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    values = values_of({"gzdw": (_table(spark, folder, "expert_info"), "id"), "cddw_mc": (_table(spark, folder, "project_info"), "id")})
+    return named_units(values, _table(spark, folder, "work_unit"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_texts(_table(spark, folder, "documents")).select("dup_of", "doc_id")
 
@@ -65,6 +71,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p4_found": p4_found,
+    "p5_found": p5_found,
     "p6_found": p6_found,
     "p7_found": p7_found,
     "p8_found": p8_found,
