@@ -206,7 +206,7 @@ def name_forms(name: str, city: str) -> Iterator[tuple[str, str, bool, bool]]:
         subject = body[: -len(school)]
         for place in (*places, city[0]):
             for topic in {subject, subject[0]}:
-                for kind in {school, school[0], ""} | ({school[1]} if school == "学院" else set()):
+                for kind in {school, school[0]} | ({""} if topic == subject else set()) | ({school[1]} if school == "学院" else set()):
                     yield place + topic + kind, city, place != city[0] and topic == subject and kind == school, False
         yield f"{body}({city})", city, True, False
     elif institute:
@@ -285,8 +285,9 @@ def resolve(register: Register, value: str) -> int | None:
             if core[:size] in register.at and _is_department(core[size:]):
                 offer((0, len(rest) + len(core) - size), register.units[register.at[core[:size]]])
                 break
-    if found:
-        return found.pop() if len(found) == 1 else None
+    if len(found) == 1:
+        return found.pop()
+    best, found = None, set()  # what fits several exactly may fit one of them better as a slip
     for core, rest in readings:
         if not _is_department(rest) or len(core) < 4:
             continue
