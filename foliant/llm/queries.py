@@ -9,8 +9,10 @@ from foliant.llm.components import connected_groups, similarity_links
 from foliant.llm.confusables import not_plain, values_of
 from foliant.llm.increment import repeated_texts
 from foliant.llm.leakage import leaked_items
+from foliant.llm.mixing import mixture
 from foliant.llm.names import named_units
 from foliant.llm.neighbours import similar_vectors
+from foliant.llm.pieces import split_texts
 from foliant.llm.residue import grouped_values, residue_records
 from foliant.llm.spans import shared_share, shared_spans
 
@@ -65,6 +67,18 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_items(_table(spark, folder, "documents"), _table(spark, folder, "eval_items")).select("doc_id", "item_id")
 
 
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture(_table(spark, folder, "documents"), _table(spark, folder, "source_weights"))[0]
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture(_table(spark, folder, "documents"), _table(spark, folder, "source_weights"))[1]
+
+
+def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return split_texts(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_share": p1_share,
@@ -75,6 +89,9 @@ QUERIES = {
     "p6_found": p6_found,
     "p7_found": p7_found,
     "p8_found": p8_found,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
+    "p10_pieces": p10_pieces,
 }
 
 ORACLES: dict[str, str] = {}
