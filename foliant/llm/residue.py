@@ -20,10 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.text import U, code_points, pieces
-from foliant.session import spread
+from foliant.session import Stash, spread
 
-#: Labelled records of either kind that training may read (a bounded sample, lowest hashes first; half as many again with residue).
-SAMPLE = 12_000
+#: Bounds of the sample that training reads, lowest hashes of the texts first: records without residue, records with it,
+#: and records looked at for their weak label.
+SAMPLE, SAMPLE_RESIDUE, LOOKED_AT = 12_000, 6_000, 200_000
 #: Code points in a window, bits of a feature's hash, share of groups held out.
 WINDOW, BITS, HELD_OUT = 16, 18, 0.25
 START, END = 2, 3
@@ -42,13 +43,16 @@ MESSAGES = (
     r"首页 > ", r"正文未能载入", r"系统繁忙", r"请稍后再试", r"OCR失败", r"JavaScript 支持", r"启用JavaScript", r"enable JavaScript", r"enable scripts", r"启用脚本", r"脚本支持", r"阻止了页面脚本", r"依赖脚本", r"Just a moment", r"版本过低", r"<noscript>", r"JavaScript is disabled", r"允许运行脚本", r"不支持脚本", r"正文未显示",
 )
 
-_WEAK = re.compile("|".join((*PLACEHOLDERS, *MESSAGES, *FILLER)), re.I)
+_PLAIN = re.compile(r"(?=[$&{<@%«#MT【\[请单点C此填限（_X×某错：:测先随这示文样段HBGISNFA无您登验附首正系O支启ea阻依J版不允该接脚E\d])(?:" + "|".join((*PLACEHOLDERS, *MESSAGES, *FILLER[:8])) + ")")
+_MONOTONE = re.compile("|".join(FILLER[8:]))
 _BLANK = frozenset(("", "无", "暂无", "待定", "-", "——", "/", "N/A", "null", "None"))
 
 
 def weak_span(text: str) -> tuple[int, int] | None:
-    """Where a phrase of residue lies, if any does."""
-    found = _WEAK.search(text)
+    """Where a phrase of residue lies, if any does. Repetitions are only sought in texts of few characters or in ASCII alone."""
+    found = _PLAIN.search(text)
+    if not found and (text.isascii() or len(set(text)) * 3 < len(text)):
+        found = _MONOTONE.search(text)
     return found.span() if found else None
 
 
@@ -156,6 +160,17 @@ def _fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, b: float, steps: int, ridg
     return w, b
 
 
+def _in_parts(model: Residue, points: np.ndarray, bounds: np.ndarray, size: int = 1500) -> tuple[np.ndarray, np.ndarray]:
+    """The scores and best windows of many rows, a part at a time; windows by their place in all marked rows."""
+    score, best, shift = [], [], 0
+    for a in range(0, len(bounds) - 1, size):
+        own = bounds[a : a + size + 1]
+        s, w = model.scores(points[own[0] : own[-1]], own - own[0])
+        score.append(s), best.append(w + shift)
+        shift += int(np.maximum(np.diff(own) + 2, WINDOW).sum())
+    return np.concatenate(score or [np.zeros(0)]), np.concatenate(best or [np.zeros(0, np.int64)])
+
+
 def train(texts: list[str], groups: list[str], rounds: int = 3, steps: int = 40) -> Residue:
     """The model from weakly labelled texts; groups are held out whole to set the threshold and to measure."""
     spans = [weak_span(t) for t in texts]
@@ -181,9 +196,9 @@ def train(texts: list[str], groups: list[str], rounds: int = 3, steps: int = 40)
         r, s = np.concatenate(rows), np.concatenate(starts)
         w, b = _fit(_window_features(marked, s, sizes[r]), y[r], w, b, steps)
         model = Residue(w, b, 0.0, {})
-        best = model.scores(points, bounds)[1]
+        best = _in_parts(model, points, bounds)[1] if len(texts) else np.zeros(0, np.int64)
         rows.append(neg), starts.append(best[neg])  # the windows most like residue in texts without any
-    score = model.scores(points, bounds)[0]
+    score = _in_parts(model, points, bounds)[0]
     test = np.flatnonzero(held) if held.any() and y[held].any() else np.arange(len(y))
     order = test[np.argsort(-score[test], kind="stable")]
     hits = np.cumsum(y[order])
@@ -197,18 +212,9 @@ def train(texts: list[str], groups: list[str], rounds: int = 3, steps: int = 40)
 
 
 def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition, the records of either label with the lowest hashes."""
-    keep: dict[bool, list] = {True: [], False: []}
     for batch in batches:
-        for text, group in zip(batch.column("value").to_pylist(), batch.column("grp").to_pylist(), strict=True):
-            keep[weak_span(text) is not None].append((zlib.crc32(text.encode()), text, group))
-        for label, rows in keep.items():
-            limit = SAMPLE // 2 if label else SAMPLE
-            if len(rows) > 2 * limit:
-                keep[label] = sorted(rows)[:limit]
-    for label, rows in keep.items():
-        rows = sorted(set(rows))[: SAMPLE // 2 if label else SAMPLE]
-        yield pa.record_batch([pa.array([label] * len(rows), pa.bool_()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=["residue", "h", "value", "grp"])
+        label = [weak_span(t) is not None for t in batch.column("value").to_pylist()]
+        yield pa.record_batch([pa.array(label, pa.bool_()), batch.column("h"), batch.column("value"), batch.column("grp")], names=["residue", "h", "value", "grp"])
 
 
 def _score(model: Residue, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,13 +234,22 @@ def grouped_values(fields: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
     return out.where(F.col("record_id").isNotNull() & F.col("value").isNotNull() & ~F.trim(F.regexp_replace("value", r"[\s 　]+", "")).isin(sorted(_BLANK)))
 
 
-def fit_residue(values: DataFrame) -> Residue:
-    """Trains on at most SAMPLE labelled records of real content and half as many of residue, wherever they lie."""
-    labelled = spread(values.select("value", "grp")).mapInArrow(_label, "residue boolean, h long, value string, grp string")
+def fit_residue(values: DataFrame, stash: Stash | None = None) -> Residue:
+    """Trains on a sample within the bounds above: texts whose hash is below a cut that follows from their number."""
+    stash = stash or Stash(values.sparkSession)
+    total = max(1, values.count())
+    scale = 1 << 40
+    hashed = spread(values.select("value", "grp").withColumn("h", F.pmod(F.xxhash64("value"), F.lit(scale))))
+    looked = hashed.where(F.col("h") < int(scale * min(1.0, LOOKED_AT / total)))
+    labelled = stash.keep(looked.mapInArrow(_label, "residue boolean, h long, value string, grp string").distinct(), "labelled")
     rows = []
-    for label, limit in ((True, SAMPLE // 2), (False, SAMPLE)):
-        rows += labelled.where(F.col("residue") == label).orderBy("h", "value", "grp").limit(limit).select("value", "grp").collect()
-    return train([r.value for r in rows], [r.grp for r in rows])
+    for label, limit in ((True, SAMPLE_RESIDUE), (False, SAMPLE)):
+        own = labelled.where(F.col("residue") == label)
+        cut = int(scale * min(1.0, LOOKED_AT / total) * min(1.0, limit / max(1, own.count())))
+        rows += own.where(F.col("h") < cut).select("value", "grp").collect()
+    stash.drop(labelled)
+    rows = sorted({(r.value, r.grp) for r in rows})
+    return train([v for v, _ in rows], [g for _, g in rows])
 
 
 def residue_records(values: DataFrame, model: Residue | None = None) -> DataFrame:
