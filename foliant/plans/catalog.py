@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from foliant.plans import text_plans
+
+MODULES = (text_plans,)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
 FLAGSHIP = "coarse_recall"

@@ -20,6 +20,7 @@ def get_session(app: str = "foliant", cpus: int | str = "*", shuffle_partitions:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("FOLIANT_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
