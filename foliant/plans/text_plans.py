@@ -54,7 +54,7 @@ def window_counts(spark: SparkSession, folder: str) -> DataFrame:
 def window_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Suspicion of each recalled pair, by how its document covers the query's windows."""
     documents = table(spark, folder, "documents").where("text is not null")
-    pairs = _recalled(spark, folder).where("rank <= 16").select("query_id", "doc_id")
+    pairs = _recalled(spark, folder).where("rank <= 8").select("query_id", "doc_id")
     windows = alignment.sliding_windows(documents.where(F.col("doc_id") % ASKED == 0))
     out = alignment.suspicion(alignment.window_coverage(windows, documents, pairs))
     return out.select("query_id", "doc_id", F.round("best", 6).alias("best"), F.round("mean3", 6).alias("mean3"), "hits", F.round("suspicion", 6).alias("suspicion"))
@@ -201,7 +201,7 @@ ORACLES = {
     "gram_frequency": f"WITH {SQL_NORM}, grams AS (SELECT doc_id, unnest({sql_grams(4)}) AS gram FROM norm) SELECT df, count(*) AS grams FROM (SELECT gram, count(*) AS df FROM grams GROUP BY gram) GROUP BY df",
     "coarse_recall": f"WITH {SQL_NORM}, {SQL_RECALL} SELECT query_id, doc_id, hits, round(score, 6) AS score, rank::INT AS rank FROM ranked WHERE rank <= 32",
     "window_counts": f"""WITH {SQL_NORM}, {_WINDOWS} SELECT doc_id, count(*) AS windows, max(start)::BIGINT AS last_start, max("end")::BIGINT AS last_end, min(length(body))::BIGINT AS shortest FROM windows GROUP BY doc_id""",
-    "window_scores": f"""WITH {SQL_NORM}, {SQL_RECALL}, pairs AS (SELECT query_id, doc_id FROM ranked WHERE rank <= 16), {_WINDOWS},
+    "window_scores": f"""WITH {SQL_NORM}, {SQL_RECALL}, pairs AS (SELECT query_id, doc_id FROM ranked WHERE rank <= 8), {_WINDOWS},
         sets AS (SELECT doc_id, {sql_grams(2)} AS d2, {sql_grams(4)} AS d4, {sql_grams(8)} AS d8 FROM norm WHERE doc_id IN (SELECT doc_id FROM pairs)),
         cut AS (SELECT doc_id AS query_id, win_no, {sql_grams(2, "b")} AS w2, {sql_grams(4, "b")} AS w4, {sql_grams(8, "b")} AS w8 FROM (SELECT doc_id, win_no, body AS b FROM windows WHERE doc_id % {ASKED} = 0)),
         scores AS (SELECT query_id, doc_id, win_no, 0.15::DOUBLE * len(list_intersect(w2, d2)) / len(w2) + 0.35::DOUBLE * len(list_intersect(w4, d4)) / len(w4) + 0.5::DOUBLE * len(list_intersect(w8, d8)) / len(w8) AS score FROM pairs JOIN sets USING (doc_id) JOIN cut USING (query_id)),
