@@ -105,7 +105,8 @@ def risk_flags(groups: DataFrame, centres: DataFrame, group: str = "cluster", su
 def interleave(rows: DataFrame, group_count: int, order_desc: str, tie: str) -> DataFrame:
     """Items dealt out by quality in turn: rank 1 to group 0, rank 2 to group 1, and so on."""
     # ranks are counted in ranges of quality first, so that the whole table is never sorted in one task
-    ranged = rows.repartitionByRange(F.desc(order_desc), tie).withColumn("_part", F.spark_partition_id())
+    stash = Stash(rows.sparkSession)
+    ranged = stash.keep(rows.repartitionByRange(F.desc(order_desc), tie).withColumn("_part", F.spark_partition_id()), "ranges")
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     within = F.row_number().over(Window.partitionBy("_part").orderBy(F.desc(order_desc), tie))

@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.text import subject_similarity
-
 
 def expert_subjects(experts: DataFrame, slots: Sequence[str] = ("sxxk1", "sxxk2", "sxxk3", "sxxk4", "sxxk5"), key: str = "id") -> DataFrame:
     """(id, slot, code): the filled subject slots of each expert, repeated rows once."""
@@ -27,12 +25,21 @@ def hit_search(rows: DataFrame, query: str, text: str, key: str, top: int) -> Da
 def match_by_subject(projects: DataFrame, subjects: DataFrame, least: float = 0.55, top: int = 5) -> DataFrame:
     """(project_id, expert_id, score, rank): experts by the best similarity of their subjects to a project's.
 
-    projects: (project_id, code, unit); subjects: (expert_id, code, unit). Codes of a similarity of at least .55 share five digits, so the join is an
-    equality on those; experts of the project's own unit are left out. Of many equal experts ``top`` are taken by id.
+    projects: (project_id, code, unit); subjects: (expert_id, code, unit). Experts of the project's own unit are left out. Ties go by id.
+    Levels of a code (all, seven, five digits) are joined by equality. Of a level only the first 2 × ``top`` experts by id are
+    joined, with at most ``top`` of each unit: more than one project's own unit can't be missing from them, so no result
+    is lost, and a frequent code doesn't pair all its projects with all its experts.
     """
-    a = projects.where("code is not null").select("project_id", F.col("code").alias("pc"), F.col("unit").alias("pu"), F.substring("code", 1, 5).alias("five"))
-    b = subjects.where("code is not null").select("expert_id", F.col("code").alias("ec"), F.col("unit").alias("eu"), F.substring("code", 1, 5).alias("five"))
-    pairs = a.join(b, "five").where("pu is null or eu is null or pu <> eu")
-    scored = pairs.groupBy("project_id", "expert_id").agg(F.max(subject_similarity(F.col("pc"), F.col("ec"))).alias("score")).where(F.col("score") >= least)
+    levels = {"code": F.col("code"), "seven": F.when(F.length("code") >= 7, F.substring("code", 1, 7)), "five": F.when(F.length("code") >= 5, F.substring("code", 1, 5))}
+    pairs: DataFrame | None = None
+    for name, level in levels.items():
+        keyed = subjects.where("code is not null").select("expert_id", "code", F.coalesce("unit", F.concat(F.lit("\0"), "expert_id")).alias("u"), "unit", level.alias("level")).where("level is not null").dropDuplicates(["level", "expert_id"])
+        few = keyed.withColumn("_r", F.row_number().over(Window.partitionBy("level", "u").orderBy("expert_id"))).where(F.col("_r") <= top)
+        few = few.withColumn("_r", F.row_number().over(Window.partitionBy("level").orderBy("expert_id"))).where(F.col("_r") <= 2 * top)
+        asked = projects.where("code is not null").select("project_id", F.col("unit").alias("pu"), level.alias("level"))
+        value = {"code": 1.0, "seven": 0.9, "five": 0.55}[name]
+        part = asked.join(few.select("level", "expert_id", F.col("unit").alias("eu")), "level").where("pu is null or eu is null or pu <> eu").select("project_id", "expert_id", F.lit(value).alias("score"))
+        pairs = part if pairs is None else pairs.unionByName(part)
+    scored = pairs.groupBy("project_id", "expert_id").agg(F.max("score").alias("score")).where(F.col("score") >= least)
     order = Window.partitionBy("project_id").orderBy(F.desc("score"), "expert_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
