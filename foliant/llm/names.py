@@ -334,4 +334,4 @@ def named_units(values: DataFrame, register: DataFrame) -> DataFrame:
         links = part if links is None else links.unionByName(part)
     if len(rows) > REGISTER_PART:
         links = links.groupBy("value").agg(F.min("unit_id").alias("unit_id"), F.count("*").alias("n")).where("n = 1").drop("n")
-    return values.dropna().join(links, "value").select("field_name", "record_id", "unit_id").distinct()
+    return values.select("field_name", "record_id", "value").dropna().join(links, "value").select("field_name", "record_id", "unit_id").distinct()

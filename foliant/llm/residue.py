@@ -174,6 +174,8 @@ def _in_parts(model: Residue, points: np.ndarray, bounds: np.ndarray, size: int
 def train(texts: list[str], groups: list[str], rounds: int = 3, steps: int = 40) -> Residue:
     """The model from weakly labelled texts; groups are held out whole to set the threshold and to measure."""
     spans = [weak_span(t) for t in texts]
+    if not any(spans):  # nothing to learn from: nothing is residue
+        return Residue(np.zeros((1 << BITS) + 16), 0.0, float("inf"), {"held_out": 0, "residue": 0.0, "precision": 1.0, "recall": 1.0})
     y = np.array([s is not None for s in spans], float)
     held = np.array([zlib.crc32(g.encode()) % 1000 < 1000 * HELD_OUT for g in groups], bool)
     points, bounds = code_points(pa.array(texts, pa.string()))

@@ -129,11 +129,12 @@ class FMIndex:
         self.text = text.astype(np.int64)
         n = len(text)
         bits = max(1, int(len(alphabet)).bit_length())
-        step = max(1, 62 // bits)
+        step = max(1, min(62 // bits, depth))
         key = np.zeros(n, np.int64)
         for i in range(step):
             key = key << bits
-            key[: n - i] |= self.text[i:]
+            if i < n:
+                key[: n - i] |= self.text[i:]
         reach, ranks = step, {}
         rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
         ranks[reach] = rank
