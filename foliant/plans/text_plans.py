@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.operators import alignment, intervals, passages, postings, templates
+from foliant.operators import alignment, facts, intervals, passages, postings, templates
 from foliant.plans.tables import table
 
 # Queries are searched for the documents whose id is divisible by 100, against all.
@@ -162,6 +162,29 @@ def metric_mentions(spark: SparkSession, folder: str) -> DataFrame:
     return templates.metric_conflicts(table(spark, folder, "documents"))
 
 
+def document_profiles(spark: SparkSession, folder: str) -> DataFrame:
+    kind, found, confidence = facts.profile(F.col("text"))
+    return table(spark, folder, "documents").where("text is not null").select("doc_id", kind.alias("kind"), found.cast("long").alias("hits"), F.round(confidence, 6).alias("confidence"))
+
+
+WINDOW_WORDS = ("经费", "预算", "进度")
+
+
+def keyword_windows(spark: SparkSession, folder: str) -> DataFrame:
+    out = facts.keyword_windows(table(spark, folder, "documents"), WINDOW_WORDS)
+    return out.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("start", "end", "parts")))
+
+
+def numbered_headings(spark: SparkSession, folder: str) -> DataFrame:
+    return facts.numbered_runs(passages.lines(table(spark, folder, "documents"))).select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("first_no", "last_no", "headings")))
+
+
+def section_slices(spark: SparkSession, folder: str) -> DataFrame:
+    """The part on progress of each document, up to the next numbered section."""
+    part = facts.between(F.col("text"), "进度安排", "[一二三四五六七八九十]、")
+    return table(spark, folder, "documents").where("text is not null").select("doc_id", F.length(part).cast("long").alias("chars"), F.md5(part.cast("binary")).alias("digest")).where("chars > 0")
+
+
 SQL_SENT = r"""sent AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^。！？；\r\n]+[。！？；]?')) AS sentence FROM documents WHERE text IS NOT NULL)"""
 SQL_REASON = r"""CASE WHEN regexp_matches(trimmed, '^\[表格行\d+\]') THEN 'table' WHEN regexp_matches(trimmed, '^(#{1,6}\s|[一二三四五六七八九十]+、|（[一二三四五六七八九十]+）|\d+(\.\d+)*[ .、．])') AND length(trimmed) <= 30 THEN 'heading' WHEN length(trimmed) < 15 THEN 'short' WHEN regexp_matches(trimmed, '^[\d\s.,%:：/\-]+$') THEN 'number' WHEN regexp_matches(trimmed, '(填写说明|填表说明|单位盖章|法定代表人|年\s*月\s*日|参考表述|不得超过|请填写)') THEN 'phrase' ELSE 'content' END"""
 SQL_TRIM = r"regexp_replace(sentence, '^[\s\x{00A0}\x{3000}]+|[\s\x{00A0}\x{3000}]+$', '', 'g')"
@@ -190,6 +213,10 @@ QUERIES = {
     "project_years": project_years,
     "corpus_quality": corpus_quality,
     "metric_mentions": metric_mentions,
+    "document_profiles": document_profiles,
+    "keyword_windows": keyword_windows,
+    "numbered_headings": numbered_headings,
+    "section_slices": section_slices,
 }
 
 _WINDOWS = """body AS (SELECT doc_id, n, length(n) AS size FROM norm WHERE length(n) > 0),
@@ -229,4 +256,16 @@ ORACLES = {
     "metric_mentions": r"""WITH f AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:增加|提高|减少|降低|缩短)\d+(?:\.\d+)?(?:%|个|项|台|天|例|吨|公斤|毫米|万元|小时|批次|亩|倍)')) AS m FROM documents WHERE text IS NOT NULL),
         p AS (SELECT doc_id, regexp_extract(m, '^(增加|提高|减少|降低|缩短)', 1) AS name, regexp_extract(m, '(%|个|项|台|天|例|吨|公斤|毫米|万元|小时|批次|亩|倍)$', 1) AS unit, regexp_extract(m, '(\d+(?:\.\d+)?)', 1)::DOUBLE AS value FROM f)
         SELECT doc_id, name, unit, count(*) AS mentions, min(value) AS low, max(value) AS high, round((max(value) - min(value)) / min(value), 6) AS spread FROM p GROUP BY ALL HAVING min(value) > 0 AND (max(value) - min(value)) / min(value) > 0.05""",
+    "document_profiles": "WITH v AS (SELECT doc_id, " + ", ".join(" + ".join(f"contains(text, '{w}')::INT" for w in words) + f" AS n{i}" for i, words in enumerate(facts.VOCABULARIES.values())) + " FROM documents WHERE text IS NOT NULL), u AS (" + " UNION ALL ".join(f"SELECT doc_id, n{i} AS n, {i} AS o, '{name}' AS kind FROM v" for i, name in enumerate(facts.VOCABULARIES)) + """), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, o) AS k FROM u)
+        SELECT a.doc_id, CASE WHEN a.n > 0 THEN a.kind END AS kind, a.n::BIGINT AS hits, round(CASE WHEN a.n > 0 THEN 0.5 + 0.5 * (a.n - b.n)::DOUBLE / a.n ELSE 0 END, 6) AS confidence FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.k = 1 AND b.k = 2""",
+    "keyword_windows": "WITH p AS (" + " UNION ALL ".join(f"SELECT doc_id, length(text) AS size, '{w}' AS w, unnest(string_split(text, '{w}')) AS part, generate_subscripts(string_split(text, '{w}'), 1) AS i FROM documents WHERE contains(text, '{w}')" for w in WINDOW_WORDS) + """),
+        q AS (SELECT doc_id, size, w, sum(length(part) + length(w)) OVER (PARTITION BY doc_id, w ORDER BY i ROWS UNBOUNDED PRECEDING) - length(w) AS pos FROM p),
+        spans AS (SELECT doc_id, greatest(pos - 30, 0) AS s, least(pos + length(w) + 30, size) AS e FROM q WHERE pos < size),
+        m AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM spans),
+        n AS (SELECT *, sum(CASE WHEN b IS NULL OR s > b THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS run FROM m)
+        SELECT doc_id, min(s)::BIGINT AS start, max(e)::BIGINT AS "end", count(*)::BIGINT AS parts FROM n GROUP BY doc_id, run""",
+    "numbered_headings": f"""WITH {SQL_LINES}, n AS (SELECT doc_id, line_no, TRY_CAST(nullif(regexp_extract(line, '^(\\d{{1,3}})\\.\\d', 1), '') AS INT) AS n FROM lines), r AS (SELECT doc_id, n, n - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM n WHERE n IS NOT NULL),
+        g AS (SELECT doc_id, min(n) AS first_no, max(n) AS last_no, count(*) AS headings FROM r GROUP BY doc_id, run)
+        SELECT doc_id, first_no::BIGINT AS first_no, last_no::BIGINT AS last_no, headings FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY headings DESC, first_no, last_no) AS k FROM g) WHERE k = 1""",
+    "section_slices": """WITH t AS (SELECT doc_id, regexp_extract(regexp_extract(text, '(?s)(进度安排.*)', 1), '(?s)^(进度安排.*?)(?:[一二三四五六七八九十]、)', 1) AS part FROM documents WHERE text IS NOT NULL) SELECT doc_id, length(part)::BIGINT AS chars, md5(part) AS digest FROM t WHERE length(part) > 0""",
 }
