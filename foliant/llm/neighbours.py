@@ -26,6 +26,8 @@ THRESHOLD = 2
 #: may lie above what the least cosine gives. 3 of them lose 0.13 % of pairs just at the least cosine, fewer above it.
 WORDS, SLACK = 4, 3.0
 SKETCH = 64 * WORDS
+#: Entries that are searched together, about: whole arrays, as many as that takes.
+GROUP = 50_000
 #: Ids broadcast at most (16 bytes each); beyond, the join is by shuffle.
 BROADCAST_IDS = 500_000
 #: Vectors on either side of a window at first, and the growth per step (virtual rehashing). The window stops growing
@@ -112,12 +114,27 @@ def _collide(least: float, keep: int):
     radius = 3 * np.sqrt(2 * (1 - least))  # of projections on standard normal directions, three deviations
 
     def one(table: pa.Table) -> pa.Table:
-        order = np.unique(table.column("vec").to_numpy(), return_index=True)[1]
-        order = order[np.argsort(table.column("value").to_numpy()[order], kind="stable")]
-        value, vec = table.column("value").to_numpy()[order], table.column("vec").to_numpy()[order]
-        s = [table.column(f"s{i}").to_numpy()[order].view(np.uint64) for i in range(WORDS)]
+        """All arrays of a group, each by itself."""
+        slot, vec, value = (table.column(c).to_numpy() for c in ("slot", "vec", "value"))
+        sketch = [table.column(f"s{i}").to_numpy().view(np.uint64) for i in range(WORDS)]
+        order = np.lexsort((value, vec, slot))
+        first = np.ones(len(order), bool)
+        first[1:] = (slot[order][1:] != slot[order][:-1]) | (vec[order][1:] != vec[order][:-1])
+        order = order[first]
+        order = order[np.lexsort((value[order], slot[order]))]
+        edges = np.append(np.flatnonzero(np.diff(slot[order], prepend=slot[order][:1] - 1)), len(order))
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if b - a > 1:
+                rows = order[a:b]
+                windows(value[rows], vec[rows], [w[rows] for w in sketch], out)
+        a, b = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (vec[:0], vec[:0])
+        # a pair collides once in an array, from either side; arrays of one group count one by one
+        return pa.table({"a": a, "b": b})
+
+    def windows(value: np.ndarray, vec: np.ndarray, s: list[np.ndarray], out: list[tuple[np.ndarray, np.ndarray]]) -> None:
         n = len(value)
-        out = []
+        found = []
         for a in range(0, n, 512):
             q = np.arange(a, min(a + 512, n))
             low, high = np.searchsorted(value, value[q] - radius), np.searchsorted(value, value[q] + radius, "right")
@@ -142,12 +159,14 @@ def _collide(least: float, keep: int):
                     hit = np.flatnonzero(close[i])
                     if len(hit) > max(keep, ENOUGH):
                         hit = hit[np.argsort(near[i][hit], kind="stable")[: max(keep, ENOUGH)]]
-                    out.append((np.full(len(hit), vec[q[i]]), vec[first + hit]))
+                    if len(hit):
+                        found.append((np.full(len(hit), vec[q[i]]), vec[first + hit]))
                 q, low, high = q[~done], low[~done], high[~done]
                 reach *= GROWTH
-        a, b = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (vec[:0], vec[:0])
-        pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        return pa.table({"a": pair[0], "b": pair[1]})
+        if found:
+            x, y = (np.concatenate(z) for z in zip(*found, strict=True))
+            pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+            out.append((pair[0], pair[1]))
 
     return one
 
@@ -181,7 +200,9 @@ def similar_vectors(vectors: DataFrame, dims: dict[str, int], least: float = 0.8
     named = source.mapInArrow(_names(dims), "id string, model string, vec long").groupBy("id", "model").agg(F.min("vec").alias("vec"))
     named = stash.keep(named, "named")
     entries = source.mapInArrow(_project(dims), "model string, array int, vec long, value float, " + ", ".join(f"s{i} long" for i in range(WORDS)))
-    hits = entries.groupBy("model", "array").applyInArrow(_collide(least, 8 * k), "a long, b long")
+    groups = max(1, min(2 * DIRECTIONS, named.count() * ROOTS // GROUP))
+    slotted = entries.withColumn("slot", F.xxhash64("model", "array")).drop("model", "array").withColumn("grp", F.pmod("slot", F.lit(groups)).cast("int"))
+    hits = slotted.groupBy("grp").applyInArrow(_collide(least, 8 * k), "a long, b long")
     pairs = stash.keep(hits.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= THRESHOLD).select("a", "b"), "pairs")
     met = pairs.select(F.col("a").alias("vec")).union(pairs.select("b")).distinct()
     ids = stash.keep(named.join(met, "vec").groupBy("vec").agg(F.min("id").alias("id")).select("id").distinct(), "ids")
