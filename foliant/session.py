@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -32,7 +34,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.conf.get("foliant.shared.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="foliant-")
+        folder = tempfile.mkdtemp(prefix="foliant-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = "file://" + folder
         spark.conf.set("foliant.shared.dir", found)
     return found.rstrip("/")
 
