@@ -4,6 +4,10 @@ Every vector is projected on DIRECTIONS fixed directions and enters, by sign, th
 which it is most extreme (there arrays are sparse, and similar vectors stay together: the hash that is aware of the
 query). Within an array a window around each vector's own value grows step by step; the vectors it meets collide.
 Pairs that collide in at least THRESHOLD arrays are verified by their exact cosine.
+
+A vector with more than ENOUGH close ones in any window is crowded. Crowded vectors are compared with each other exactly,
+block by block; only blocks too far apart to hold any pair are passed over. What a crowded vector and one that isn't have
+in common is met in the windows of the latter, which span all of the radius.
 """
 
 from __future__ import annotations
@@ -31,8 +35,11 @@ GROUP = 50_000
 #: Ids broadcast at most (16 bytes each); beyond, the join is by shuffle.
 BROADCAST_IDS = 500_000
 #: Vectors on either side of a window at first, and the growth per step (virtual rehashing). The window stops growing
-#: when it spans all of the radius that the least cosine allows, or holds ENOUGH close vectors by their sketches.
-WINDOW, GROWTH, ENOUGH = 256, 4, 48
+#: when it spans all of the radius that the least cosine allows, or holds more than ENOUGH close vectors by their
+#: sketches; then its vector is crowded. Numbers compared at once.
+WINDOW, GROWTH, ENOUGH, AT_ONCE = 256, 4, 96, 1 << 24
+#: Crowded vectors in a block (all pairs of two blocks are compared in one piece), and the most cells of a model.
+BLOCK, CELLS = 1000, 256
 
 
 @cache
@@ -106,7 +113,7 @@ def _project(dims: dict[str, int]):
     return run
 
 
-def _collide(least: float, keep: int):
+def _collide(least: float):
     angle = np.arccos(least) / np.pi
     far = SKETCH * angle + SLACK * np.sqrt(SKETCH * angle * (1 - angle))
     soon = SKETCH / 2 * angle + (SLACK + 1) * np.sqrt(SKETCH / 2 * angle * (1 - angle))  # of the first half of the bits
@@ -114,7 +121,7 @@ def _collide(least: float, keep: int):
     radius = 3 * np.sqrt(2 * (1 - least))  # of projections on standard normal directions, three deviations
 
     def one(table: pa.Table) -> pa.Table:
-        """All arrays of a group, each by itself."""
+        """All arrays of a group, each by itself. Rows with a = b tell that a is crowded."""
         slot, vec, value = (table.column(c).to_numpy() for c in ("slot", "vec", "value"))
         sketch = [table.column(f"s{i}").to_numpy().view(np.uint64) for i in range(WORDS)]
         order = np.lexsort((value, vec, slot))
@@ -134,39 +141,39 @@ def _collide(least: float, keep: int):
 
     def windows(value: np.ndarray, vec: np.ndarray, s: list[np.ndarray], out: list[tuple[np.ndarray, np.ndarray]]) -> None:
         n = len(value)
-        found = []
+        found, crowded = [], []
+        work = []
         for a in range(0, n, 512):
             q = np.arange(a, min(a + 512, n))
-            low, high = np.searchsorted(value, value[q] - radius), np.searchsorted(value, value[q] + radius, "right")
-            reach = WINDOW
-            while len(q):
-                lo, hi = np.maximum(low, q - reach), np.minimum(high, q + reach + 1)
-                first, last = int(lo.min()), int(hi.max())
-                near = np.zeros((len(q), last - first), np.int16)
-                for w in s[:half]:
-                    near += np.bitwise_count(w[q, None] ^ w[None, first:last])
-                x, y = np.nonzero(near <= soon)
-                y_at = y + first
-                inside = (y_at >= lo[x]) & (y_at < hi[x]) & (y_at != q[x])
-                x, y, y_at = x[inside], y[inside], y_at[inside]
-                rest = sum(np.bitwise_count(w[q[x]] ^ w[y_at]).astype(np.int16) for w in s[half:])
-                near[x, y] += rest
-                ok = near[x, y] <= far
-                close = np.zeros(near.shape, bool)
-                close[x[ok], y[ok]] = True
-                done = ((lo == low) & (hi == high)) | (close.sum(1) >= max(keep, ENOUGH))
-                for i in np.flatnonzero(done):
-                    hit = np.flatnonzero(close[i])
-                    if len(hit) > max(keep, ENOUGH):
-                        hit = hit[np.argsort(near[i][hit], kind="stable")[: max(keep, ENOUGH)]]
-                    if len(hit):
-                        found.append((np.full(len(hit), vec[q[i]]), vec[first + hit]))
-                q, low, high = q[~done], low[~done], high[~done]
-                reach *= GROWTH
-        if found:
-            x, y = (np.concatenate(z) for z in zip(*found, strict=True))
-            pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-            out.append((pair[0], pair[1]))
+            work.append((q, np.searchsorted(value, value[q] - radius), np.searchsorted(value, value[q] + radius, "right"), WINDOW))
+        while work:
+            q, low, high, reach = work.pop()
+            lo, hi = np.maximum(low, q - reach), np.minimum(high, q + reach + 1)
+            first, last = int(lo.min()), int(hi.max())
+            if len(q) > 1 and len(q) * (last - first) > AT_ONCE:
+                half_q = len(q) // 2
+                work += [(q[:half_q], low[:half_q], high[:half_q], reach), (q[half_q:], low[half_q:], high[half_q:], reach)]
+                continue
+            near = np.zeros((len(q), last - first), np.int16)
+            for w in s[:half]:
+                near += np.bitwise_count(w[q, None] ^ w[None, first:last])
+            x, y = np.nonzero(near <= soon)
+            y_at = y + first
+            inside = (y_at >= lo[x]) & (y_at < hi[x]) & (y_at != q[x])
+            x, y_at, count = x[inside], y_at[inside], near[x[inside], y[inside]]
+            count = count + sum(np.bitwise_count(w[q[x]] ^ w[y_at]).astype(np.int16) for w in s[half:])
+            x, y_at = x[count <= far], y_at[count <= far]
+            many = np.bincount(x, minlength=len(q)) > ENOUGH
+            done = ((lo == low) & (hi == high)) | many
+            crowded.append(vec[q[many]])
+            whole_window = (done & ~many)[x]
+            found.append((vec[q[x[whole_window]]], vec[y_at[whole_window]]))
+            if not done.all():
+                work.append((q[~done], low[~done], high[~done], reach * GROWTH))
+        x, y = (np.concatenate(z) for z in zip(*found, strict=True))
+        pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+        hot = np.concatenate(crowded)
+        out.append((np.concatenate([pair[0], hot]), np.concatenate([pair[1], hot])))
 
     return one
 
@@ -185,13 +192,104 @@ def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(np.round(cosine, 6))], names=["a", "b", "cosine"])
 
 
+def _cells(pivots: dict[str, np.ndarray]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            models, blobs = (batch.column(c).to_pylist() for c in ("model", "unit"))
+            cell = np.zeros(len(models), np.int32)
+            for model in set(models):
+                rows = [i for i, m in enumerate(models) if m == model]
+                x = np.frombuffer(b"".join(blobs[i] for i in rows), "<f4").reshape(len(rows), -1)
+                cell[rows] = np.argmax(x @ pivots[model].T, axis=1)
+            yield pa.record_batch([*batch.columns, pa.array(cell)], names=[*batch.schema.names, "cell"])
+
+    return run
+
+
+def _pack(table: pa.Table) -> pa.Table:
+    """One block: vectors in the order of their ids, the direction of their mean, and how far from it they lie."""
+    table = table.sort_by("id")
+    blobs = table.column("unit").to_pylist()
+    u = unit(np.frombuffer(b"".join(blobs), "<f4").reshape(len(blobs), -1).astype(np.float64))
+    mean = u.sum(0)
+    centre = unit(mean[None, :])[0] if mean.any() else u[0]
+    radius = float(np.arccos(np.clip(u @ centre, -1, 1)).max())
+    first = lambda c: table.column(c)[0].as_py()
+    return pa.table({"model": [first("model")], "cell": pa.array([first("cell")], pa.int32()), "part": pa.array([first("part")], pa.int32()), "centre": [centre.tolist()], "radius": [radius], "vecs": [table.column("vec").to_numpy().tobytes()], "units": [b"".join(blobs)]})
+
+
+def _between(least: float, k: int):
+    """All pairs of two blocks: for each vector its k + 1 best of the other block, unless as many better ones are known."""
+    floor = round(least * 1_000_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                va, vb = (np.frombuffer(row[c], np.int64) for c in ("va", "vb"))
+                ua, ub = (unit(np.frombuffer(row[c], "<f4").reshape(len(v), -1).astype(np.float64)) for c, v in (("ua", va), ("ub", vb)))
+                millionths = np.rint(ua @ ub.T * 1_000_000).astype(np.int64)
+                same = row["ia"] == row["ib"]
+                if same:
+                    np.fill_diagonal(millionths, -2_000_000)
+                for number, mine, others, m in [(row["ia"], va, vb, millionths)] + ([] if same else [(row["ib"], vb, va, millionths.T)]):
+                    keys = m * len(others) - np.arange(len(others))  # ties go by id, the order of the block
+                    most = min(k + 1, len(others))
+                    top = np.argpartition(-keys, most - 1, axis=1)[:, :most]
+                    score = np.take_along_axis(m, top, 1)
+                    best = known.get(number, np.full((len(mine), k + 1), floor))
+                    known[number] = best = -np.sort(-np.concatenate([best, score], axis=1), axis=1)[:, : k + 1]
+                    x, y = np.nonzero(score >= best[:, -1:])
+                    a, b = mine[x], others[top[x, y]]
+                    yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(score[x, y] / 1_000_000)], names=["a", "b", "cosine"])
+
+    return run
+
+
+def crowded_pairs(crowded: DataFrame, least: float, k: int, stash: Stash) -> DataFrame | None:
+    """(a, b, cosine) of (vec, model, id, unit): each one's k + 1 most similar of its model, by exact cosine, ties by id.
+
+    Vectors go to cells around sampled ones, cells are cut into blocks, and blocks are compared two by two without a
+    shuffle, unless no pair of them can reach ``least`` by the angles of their means.
+    """
+    spark = crowded.sparkSession
+    sample = crowded.withColumn("r", F.row_number().over(Window.partitionBy("model").orderBy(F.xxhash64("vec")))).where(F.col("r") <= CELLS).select("model", "unit").collect()
+    if not sample:
+        return None
+    pivots = {m: np.stack([np.frombuffer(r.unit, "<f4") for r in sample if r.model == m]) for m in {r.model for r in sample}}
+    placed = stash.keep(crowded.mapInArrow(_cells(pivots), "vec long, model string, id string, unit binary, cell int"), "cells")
+    parts = placed.groupBy("model", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    cut = placed.join(F.broadcast(parts), ["model", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec", F.lit(1)), F.col("parts")).cast("int"))
+    blocks = stash.keep(cut.select("vec", "model", "id", "unit", "cell", "part").groupBy("model", "cell", "part").applyInArrow(_pack, "model string, cell int, part int, centre array<double>, radius double, vecs binary, units binary"), "blocks")
+    heads = blocks.select("model", "cell", "part", "centre", "radius").collect()
+    rows = []
+    for model in pivots:
+        own = [(i, r) for i, r in enumerate(heads) if r.model == model]
+        number, radius, centre = np.array([i for i, _ in own]), np.array([r.radius for _, r in own]), np.array([r.centre for _, r in own])
+        for at, (i, r) in enumerate(own):
+            reach = np.arccos(np.clip(centre[at:] @ centre[at], -1, 1)) - radius[at:] - radius[at]
+            rows.append((model, r.cell, r.part, i, number[at:][reach <= np.arccos(least) + 1e-6].tolist()))
+    known = spark.createDataFrame(rows, "model string, cell int, part int, i int, partners array<int>")
+    numbered = stash.keep(blocks.join(F.broadcast(known), ["model", "cell", "part"]).select("i", "partners", "vecs", "units"), "numbered")
+    left = numbered.select(F.col("i").alias("ia"), "partners", F.col("vecs").alias("va"), F.col("units").alias("ua"))
+    right = numbered.select(F.col("i").alias("ib"), F.col("vecs").alias("vb"), F.col("units").alias("ub"))
+    both = left.join(right, F.array_contains("partners", F.col("ib"))).select("ia", "ib", "va", "ua", "vb", "ub")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "4")  # rows of some MB
+    try:
+        return stash.keep(both.mapInArrow(_between(least, k), "a long, b long, cosine double"), "crowded-pairs")
+    finally:
+        spark.conf.set(size, before)
+
+
 def similar_vectors(vectors: DataFrame, dims: dict[str, int], least: float = 0.8, k: int = 5, vector_id: str = "image_id", blob: str = "embedding_blob", model: str = "embedding_model", stash: Stash | None = None) -> DataFrame:
     """(a, b, cosine), a < b: pairs of one model with cosine at least ``least``, one of them among the other's k most similar.
 
     Usable are vectors of a model in ``dims`` with its full length, finite numbers, and not all zero. Repeated rows count
     once; of rows with one id and different vectors the one with the smallest digest counts. Ties of the cosine, at six decimals, go by
     id. Vectors of the same direction are one point for the search, and are told apart again by their ids, of which k + 1
-    suffice. Recall is stated in the README against brute force.
+    suffice. Crowded vectors are compared exactly. Recall is stated in the README against brute force.
     """
     spark = vectors.sparkSession
     stash = stash or Stash(spark)
@@ -202,15 +300,20 @@ def similar_vectors(vectors: DataFrame, dims: dict[str, int], least: float = 0.8
     entries = source.mapInArrow(_project(dims), "model string, array int, vec long, value float, " + ", ".join(f"s{i} long" for i in range(WORDS)))
     groups = max(1, min(2 * DIRECTIONS, named.count() * ROOTS // GROUP))
     slotted = entries.withColumn("slot", F.xxhash64("model", "array")).drop("model", "array").withColumn("grp", F.pmod("slot", F.lit(groups)).cast("int"))
-    hits = slotted.groupBy("grp").applyInArrow(_collide(least, 8 * k), "a long, b long")
-    pairs = stash.keep(hits.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= THRESHOLD).select("a", "b"), "pairs")
-    met = pairs.select(F.col("a").alias("vec")).union(pairs.select("b")).distinct()
+    hits = slotted.groupBy("grp").applyInArrow(_collide(least), "a long, b long")
+    collided = stash.keep(hits.groupBy("a", "b").agg(F.count("*").alias("n")).where((F.col("n") >= THRESHOLD) | (F.col("a") == F.col("b"))).select("a", "b"), "pairs")
+    pairs, crowded = collided.where("a <> b"), collided.where("a = b").select(F.col("a").alias("vec"))
+    met = collided.select(F.col("a").alias("vec")).union(collided.select("b")).distinct()
     ids = stash.keep(named.join(met, "vec").groupBy("vec").agg(F.min("id").alias("id")).select("id").distinct(), "ids")
     few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     points = source.join(few, "id", "left_semi").mapInArrow(_units(dims), "vec long, unit binary").dropDuplicates(["vec"])
     points = stash.keep(points, "points")
     side = lambda v, u: points.select(F.col("vec").alias(v), F.col("unit").alias(u))
     close = pairs.join(side("a", "ua"), "a").join(side("b", "ub"), "b").select("a", "b", "ua", "ub").mapInArrow(_cosines, "a long, b long, cosine double").where(F.col("cosine") >= least)
+    low = named.join(crowded, "vec").groupBy("vec", "model").agg(F.min("id").alias("id"))
+    exact = crowded_pairs(stash.keep(low.join(points, "vec").select("vec", "model", "id", "unit"), "crowded"), least, k, stash)
+    if exact is not None:
+        close = close.union(exact).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
     close = stash.keep(close, "close")
     # the k + 1 first ids of each point are all that can be among anyone's k most similar by way of it
     buckets = F.pmod(F.xxhash64("id"), F.lit(64))

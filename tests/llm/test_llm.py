@@ -12,7 +12,7 @@ import pytest
 
 from foliant.llm import confusables, increment, leakage, mixing, names, pieces, residue, spans, text, tokens
 from foliant.llm.components import connected_groups, similarity_links
-from foliant.llm.neighbours import similar_vectors
+from foliant.llm.neighbours import similar_vectors, unit
 
 WORDS = "光伏薄膜稀土灌区桥梁叶片玉米电极高频传感轨道支架边缘泵体临床视频低温纸张儿童封装"
 
@@ -122,6 +122,26 @@ def test_similar_vectors(spark):
     assert similar_vectors(frame.limit(0), {"m": dim}).count() == 0
 
 
+def test_similar_vectors_of_a_hot_group(spark):
+    rng = np.random.default_rng(4)
+    dim, hot = 64, 4000
+    x = np.concatenate([np.ones(dim) * 1.5 + rng.standard_normal((hot, dim)) * 0.35, rng.standard_normal((300, dim))])
+    x[hot:] = np.repeat(x[hot::2], 2, axis=0) + rng.standard_normal((300, dim)) * 0.2
+    x = x.astype("<f4")
+    ids = [f"i{n:05d}" for n in rng.permutation(len(x))]
+    frame = spark.createDataFrame([(i, "m", v.tobytes()) for i, v in zip(ids, x, strict=True)], "image_id string, embedding_model string, embedding_blob binary")
+    got = {(r.a, r.b) for r in similar_vectors(frame, {"m": dim}).collect()}
+    u = unit(unit(x.astype(float)).astype("<f4").astype(float))  # vectors are kept as float32
+    order = np.argsort(ids)
+    s = np.round(u[order] @ u[order].T, 6)
+    np.fill_diagonal(s, -2)
+    names = sorted(ids)
+    want = {tuple(sorted((names[i], names[j]))) for i in range(len(s)) for j in np.argsort(-s[i], kind="stable")[:5] if s[i, j] >= 0.8}
+    inside = {i for i, v in zip(ids, range(len(x)), strict=True) if v < hot}
+    assert not got - want and len(got & want) >= 0.97 * len(want)
+    assert {p for p in want if set(p) <= inside} == {p for p in got if set(p) <= inside}
+
+
 # --- p3 --------------------------------------------------------------------------------------------------------------
 def test_connected_groups(spark):
     rng = random.Random(4)
