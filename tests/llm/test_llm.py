@@ -239,6 +239,23 @@ def test_repeated_texts(spark, monkeypatch, run):
     assert increment.repeated_texts(frame.limit(0)).count() == 0
 
 
+def test_repeated_passages_in_texts(spark):
+    rng = random.Random(12)
+    rows = []
+    for size in (8, 15, 30, 70, 150, 300, 700):
+        for times in (1, 3, 20, 60):
+            passage = prose(rng, size)
+            edited = list(passage)
+            edited[size // 2] = "改"
+            for t in (passage, passage * times, passage * (times + 7), "".join(edited) * times, passage * times + "".join(edited), "补" + passage * 5 + "".join(edited)):
+                rows.append((len(rows), len(rows) % 3, t))
+    for number in range(6):  # few different sequences in any order
+        rows.append((len(rows), number % 2, "".join(rng.choice("甲乙") for _ in range(900))))
+    rows += [(len(rows), 0, "甲乙丙甲乙丙甲乙丙甲乙"), (len(rows) + 1, 1, "甲乙丙" * 300)]
+    got = {r.doc_id: r.dup_of for r in increment.repeated_texts(spark.createDataFrame(rows, "doc_id long, batch_no int, text string")).collect()}
+    assert got == plain_repeats(rows)
+
+
 def test_segments_merge_logarithmically():
     k = np.array([b"%02d" % (i % 7) for i in range(64)], "S24")
     segments = []
