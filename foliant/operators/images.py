@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.text import hamming
+from foliant.functions.text import hamming, high_half, low_half
+from foliant.session import ship
+
+#: The widest radius that goes by bands; beyond, bands of under 4 bits don't select. Hashes in a block.
+BANDED, BLOCK = 15, 512
 
 
 def same_content(images: DataFrame, queries: DataFrame) -> DataFrame:
@@ -18,10 +26,13 @@ def hamming_join(images: DataFrame, queries: DataFrame, radius: int = 7, key: st
     """(query_id, image_id, distance): images whose 64-bit hash differs from a query's in at most ``radius`` bits.
 
     By the pigeonhole rule two such hashes agree in one of radius + 1 bands, so the join is an equality on bands; every
-    pair is then counted once, at the first band on which it agrees. Invalid hashes match none. Queries are a stated set.
+    pair is then counted once, at the first band on which it agrees. Beyond BANDED bits the different hashes of both sides
+    are compared block by block. Invalid hashes match none. Queries are a stated set.
     """
-    if not 0 <= radius <= 15:
-        raise ValueError("bands of fewer than 4 bits don't select")
+    if not 0 <= radius <= 64:
+        raise ValueError("hashes have 64 bits")
+    if radius > BANDED:
+        return _compared(images, queries, radius, key, phash)
     bands = radius + 1
     edges = [round(i * 64 / bands) for i in range(bands + 1)]
 
@@ -36,6 +47,40 @@ def hamming_join(images: DataFrame, queries: DataFrame, radius: int = 7, key: st
     return met.withColumn("distance", hamming(F.col("query_id_hash"), F.col("other_id_hash"))).where(F.col("distance") <= radius).select("query_id", F.col("other_id").alias("image_id"), "distance")
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        h = batch.column(0).to_numpy()
+        parts = [h[a : a + BLOCK] for a in range(0, len(h), BLOCK)]
+        yield pa.record_batch([pa.array(parts, pa.list_(pa.int64()))], names=["block"])
+
+
+def _within(radius: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q, o in zip(batch.column("q"), batch.column("o"), strict=True):
+                q, o = q.values.to_numpy(), o.values.to_numpy()
+                distance = np.bitwise_count(q.view(np.uint64)[:, None] ^ o.view(np.uint64)[None, :])
+                x, y = np.nonzero(distance <= radius)
+                if len(x):
+                    yield pa.record_batch([pa.array(q[x]), pa.array(o[y]), pa.array(distance[x, y].astype(np.int32))], names=["query_hash", "other_hash", "distance"])
+
+    return run
+
+
+def _compared(images: DataFrame, queries: DataFrame, radius: int, key: str, phash: str) -> DataFrame:
+    """All different hashes of both sides, compared in blocks of BLOCK; ids are joined to the pairs found."""
+    ship(images.sparkSession)
+
+    def hashes(rows: DataFrame, name: str, number: str) -> DataFrame:
+        valid = rows.select(F.col(key).alias(name), F.lower(phash).alias("_h")).where(F.col("_h").rlike("^[0-9a-f]{16}$"))
+        return valid.select(name, F.shiftleft(high_half(F.col("_h")).cast("long"), 32).bitwiseOR(low_half(F.col("_h")).cast("long")).alias(number)).distinct()
+
+    left, right = hashes(queries, "query_id", "query_hash"), hashes(images, "other_id", "other_hash")
+    q, o = (rows.select(c).distinct().mapInArrow(_blocks, "block array<long>").withColumnRenamed("block", name) for rows, c, name in ((left, "query_hash", "q"), (right, "other_hash", "o")))
+    met = o.crossJoin(q).mapInArrow(_within(radius), "query_hash long, other_hash long, distance int")
+    return met.join(left, "query_hash").join(right, "other_hash").where(F.col("query_id") != F.col("other_id")).select("query_id", F.col("other_id").alias("image_id"), "distance").distinct()
+
+
 def area_alike(w1: Column, h1: Column, w2: Column, h2: Column, low: float = 0.25, high: float = 4.0) -> Column:
     """Whether two areas are within the allowed ratio."""
     return F.coalesce(F.try_divide((w1 * h1).cast("double"), w2 * h2).between(low, high), F.lit(False))

@@ -100,10 +100,28 @@ def images_near(spark: SparkSession, folder: str) -> DataFrame:
     return images.hamming_join(_images(spark, folder), _asked_images(spark, folder), 10)
 
 
+#: Differing bits up to which the decision lets a pair count (images.decide); the queries with SQL look up to 10.
+DECISION_RADIUS = 18
+
+
+def images_near_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Near images up to the radius of the decision (no SQL; tested against a plain version)."""
+    return images.hamming_join(_images(spark, folder), _asked_images(spark, folder), DECISION_RADIUS)
+
+
 def image_levels(spark: SparkSession, folder: str) -> DataFrame:
     """Near images of the queries by level of the decision."""
+    return _image_levels(spark, folder, 10)
+
+
+def image_levels_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """The same up to the radius of the decision (no SQL; tested against a plain version)."""
+    return _image_levels(spark, folder, DECISION_RADIUS)
+
+
+def _image_levels(spark: SparkSession, folder: str, radius: int) -> DataFrame:
     all_images, asked = _images(spark, folder), _asked_images(spark, folder)
-    near = images.hamming_join(all_images, asked, 10)
+    near = images.hamming_join(all_images, asked, radius)
     a = all_images.select(F.col("image_id").alias("query_id"), F.col("doc_id").alias("qd"), F.col("sha256_norm").alias("qs"))
     b = all_images.select("image_id", "doc_id", "sha256_norm")
     pairs = near.join(a, "query_id").join(b, "image_id")
@@ -254,7 +272,7 @@ def event_sessions(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     segment_union, source_ranking, uncovered_paraphrases, cosine_top, similarity_graph, label_centres, kmeans_groups, source_balance, dominant_languages, risk_counts,
-    images_equal, images_near, image_levels, not_indexed, latest_index, supplier_pairs, supplier_hops, supplier_rank, part_communities, community_sizes, topic_migration,
+    images_equal, images_near, images_near_whole, image_levels, image_levels_whole, not_indexed, latest_index, supplier_pairs, supplier_hops, supplier_rank, part_communities, community_sizes, topic_migration,
     topic_panel, topic_baseline, topic_spans, topic_findings, shock_effects, budget_diff, largest_lines, total_conflicts, project_latest,
     subject_counts, expert_matches, expert_hits, event_windows, event_sessions,
 )}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as T
 from foliant.operators import alignment, diff, graph, grouping, images, intervals, matching, panel, passages, postings, templates, vectors
+from foliant.plans import data_plans
 from foliant.sources import documents as sources
 from foliant.streaming import ingest
 
@@ -166,6 +167,28 @@ def test_hamming_join(spark, radius):
     assert got == {(a, b): n for a in good for b in good if a != b and (n := (good[a] ^ good[b]).bit_count()) <= radius}
 
 
+@pytest.mark.parametrize("radius", [16, 18, 30])
+def test_hamming_join_beyond_bands(spark, radius):
+    test_hamming_join(spark, radius)
+
+
+def test_image_queries_of_the_whole_decision(spark):
+    folder = "/root/testdata/sf0.01"
+    rows = {tuple(r) for r in spark.read.parquet(f"{folder}/image_features.parquet").select("image_id", "doc_id", "sha256_norm", "phash_hex").collect()}
+    good = [(i, d, s, int(h, 16)) for i, d, s, h in rows if h and len(h) == 16]
+    near, levels = set(), set()
+    for a, da, sa, ha in good:
+        for b, db, sb, hb in good if a and a[-2:] == "00" else []:
+            n = (ha ^ hb).bit_count()
+            if a != b and n <= 18:
+                near.add((a, b, n))
+                score = 0.0 if da and da == db else 1.0 if sa and sa == sb else 0.6 * (1 - n / 64)
+                levels.add((a, b, n, round(score, 6), "high" if score >= 0.9 else "medium" if score >= 0.72 else "low" if score > 0 else "none"))
+    assert {tuple(r) for r in data_plans.images_near_whole(spark, folder).collect()} == near
+    got = {tuple(r) for r in data_plans.image_levels_whole(spark, folder).collect()}
+    assert {r[:3] for r in got} == near and got == levels and max(n for _, _, n in near) > 10
+
+
 def test_images_changed(spark):
     listed = spark.createDataFrame([("a", 1, 1.0), ("b", 2, None), ("c", 3, 1.0)], "doc_id string, file_size int, file_mtime double")
     stored = spark.createDataFrame([("a", 1, 1.0), ("b", 2, None), ("c", 4, 1.0), ("d", 1, 1.0)], "doc_id string, file_size int, file_mtime double")
