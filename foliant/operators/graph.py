@@ -60,11 +60,12 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, every: i
     return ranks
 
 
-def label_propagation(edges: DataFrame, rounds: int = 5, stash: Stash | None = None) -> DataFrame:
+def label_propagation(edges: DataFrame, rounds: int = 5, stash: Stash | None = None, settle: bool = False) -> DataFrame:
     """(node, label): deterministic label propagation on undirected (a, b, weight).
 
     All nodes take at once the label with the greatest weight among their neighbours and themselves (with the weight of
-    their strongest edge); ties go to the smallest label. Communities of other algorithms differ in their labels.
+    their strongest edge); ties go to the smallest label. Communities of other algorithms differ in their labels. With
+    ``settle`` it ends once labels are stable or repeat every other round, with those that all ``rounds`` would give.
     """
     stash = stash or Stash(edges.sparkSession)
     arrows = stash.keep(both_ways(edges), "arrows")
@@ -72,10 +73,18 @@ def label_propagation(edges: DataFrame, rounds: int = 5, stash: Stash | None = N
     loops = own.select(F.col("src"), F.col("src").alias("dst"), "weight")
     around = stash.keep(arrows.union(loops), "around")
     labels = own.select(F.col("src").alias("node"), F.col("src").alias("label"))
-    for _ in range(rounds):
+    seen: list[DataFrame] = [labels]
+    for number in range(rounds):
         votes = around.join(labels, around["dst"] == labels["node"]).groupBy("src", "label").agg(F.sum("weight").alias("votes"))
         best = votes.groupBy("src").agg(F.min(F.struct((-F.col("votes")).alias("less"), "label")).alias("m"))
         labels = stash.keep(best.select(F.col("src").alias("node"), F.col("m.label").alias("label")), "labels")
+        if settle:
+            same = lambda old, new=labels: not old.withColumnRenamed("label", "old").join(new, "node").where("old <> label").take(1)
+            if same(seen[-1]):
+                break
+            if len(seen) > 1 and same(seen[-2]):
+                return labels if (rounds - number - 1) % 2 == 0 else seen[-1]
+            seen = [seen[-1], labels]
     return labels
 
 

@@ -58,10 +58,14 @@ def label_centres(spark: SparkSession, folder: str) -> DataFrame:
     return c.select("label", F.posexplode("center").alias("place", "x")).select("label", F.col("place").cast("long").alias("place"), F.round("x", 6).alias("x"))
 
 
+#: The reference's bound; it ends as soon as the centres are stable.
+KMEANS_ROUNDS = 100
+
+
 def kmeans_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Balance and purity of spherical k-means groups (iterative: no SQL; tested by its invariants)."""
     e = table(spark, folder, "embeddings")
-    return grouping.balance(grouping.spherical_kmeans(e, 8, rounds=5).join(e.select("vec_id", "label"), "vec_id"))
+    return grouping.balance(grouping.spherical_kmeans(e, 8, rounds=KMEANS_ROUNDS).join(e.select("vec_id", "label"), "vec_id"))
 
 
 def source_balance(spark: SparkSession, folder: str) -> DataFrame:
@@ -169,6 +173,27 @@ def community_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return graph.community_summary(labels).select("label", "size", F.col("rank").cast("long").alias("rank"))
 
 
+#: The reference's rounds of PageRank, and a bound for labels, which mostly settle long before. The queries with SQL run
+#: as few rounds as the SQL has unrolled.
+WHOLE_RANK_ROUNDS, WHOLE_LABEL_ROUNDS = 20, 100
+
+
+def supplier_rank_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """PageRank with the reference's rounds (no SQL; tested against a plain version)."""
+    ranks = graph.pagerank(graph.both_ways(_supplier_graph(spark, folder)), WHOLE_RANK_ROUNDS)
+    return ranks.select("node", F.round("score", 8).alias("score"))
+
+
+def part_communities_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels until they settle (no SQL; tested against a plain version)."""
+    return graph.label_propagation(_supplier_graph(spark, folder), WHOLE_LABEL_ROUNDS, settle=True)
+
+
+def community_sizes_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Sizes of the settled communities (no SQL; tested against a plain version)."""
+    return graph.community_summary(part_communities_whole(spark, folder)).select("label", "size", F.col("rank").cast("long").alias("rank"))
+
+
 def topic_migration(spark: SparkSession, folder: str) -> DataFrame:
     """Fields of projects that go on under other codes, by shared keywords of two windows of years."""
     from foliant.functions.text import keywords, year_of
@@ -272,7 +297,7 @@ def event_sessions(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     segment_union, source_ranking, uncovered_paraphrases, cosine_top, similarity_graph, label_centres, kmeans_groups, source_balance, dominant_languages, risk_counts,
-    images_equal, images_near, images_near_whole, image_levels, image_levels_whole, not_indexed, latest_index, supplier_pairs, supplier_hops, supplier_rank, part_communities, community_sizes, topic_migration,
+    images_equal, images_near, images_near_whole, image_levels, image_levels_whole, not_indexed, latest_index, supplier_pairs, supplier_hops, supplier_rank, supplier_rank_whole, part_communities, part_communities_whole, community_sizes, community_sizes_whole, topic_migration,
     topic_panel, topic_baseline, topic_spans, topic_findings, shock_effects, budget_diff, largest_lines, total_conflicts, project_latest,
     subject_counts, expert_matches, expert_hits, event_windows, event_sessions,
 )}

@@ -156,6 +156,66 @@ def test_graph(spark):
     assert {(r.source, r.target, r.shared) for r in graph.migration_links(before, before).collect()} == {(1, 1, 2), (2, 2, 1)}
 
 
+def plain_labels(edges, rounds):
+    around = {}
+    for a, b, w in edges:
+        around.setdefault(a, []).append((b, w))
+        around.setdefault(b, []).append((a, w))
+    for v, near in around.items():
+        near.append((v, max(w for _, w in near)))
+    label = {v: v for v in around}
+    for _ in range(rounds):
+        fresh = {}
+        for v, near in around.items():
+            votes = {}
+            for u, w in near:
+                votes[label[u]] = votes.get(label[u], 0) + w
+            fresh[v] = min(votes, key=lambda x: (-votes[x], x))
+        label = fresh
+    return label
+
+
+def test_labels_settle(spark):
+    rng = random.Random(6)
+    chain = [(i, i + 1, 40 - i) for i in range(30)]  # a label walks down it, one node a round
+    two = [(100, 101, 1), (100, 102, 1), (101, 103, 1), (102, 103, 1)]
+    mixed = sorted({(200 + min(p), 200 + max(p), 1 + sum(p) % 3) for p in (rng.sample(range(40), 2) for _ in range(70))})
+    for edges in (chain, two, mixed, chain + two + mixed):
+        frame = spark.createDataFrame(edges, "a long, b long, weight long")
+        assert {r.node: r.label for r in graph.label_propagation(frame, 101, settle=True).collect()} == plain_labels(edges, 101)
+    assert plain_labels(chain, 101) != plain_labels(chain, 3)
+
+
+def test_iterations_are_whole(spark, monkeypatch):
+    import numpy as np
+
+    members = spark.createDataFrame([(o, s) for o in range(300) for s in (o % 40, (o * 7 + o // 40) % 40, (o % 40 + 1) % 40)], "l_orderkey long, l_suppkey long")
+    monkeypatch.setattr(data_plans, "_supplier_graph", lambda *_: graph.cooccurrence(members, "l_orderkey", "l_suppkey"))
+    edges = [tuple(r) for r in data_plans._supplier_graph().collect()]
+    labels = plain_labels(edges, data_plans.WHOLE_LABEL_ROUNDS)
+    assert {r.node: r.label for r in data_plans.part_communities_whole(spark, "").collect()} == labels
+    assert {r.label: r["size"] for r in data_plans.community_sizes_whole(spark, "").collect()} == {x: list(labels.values()).count(x) for x in labels.values()}
+    weight = {}
+    for a, b, w in edges:
+        weight[a, b] = weight[b, a] = w
+    total = {v: sum(w for (a, _), w in weight.items() if a == v) for v, _ in weight}
+    score = dict.fromkeys(total, 1 / len(total))
+    for _ in range(20):
+        score = {v: 0.15 / len(total) + 0.85 * sum(score[a] * w / total[a] for (a, b), w in weight.items() if b == v) for v in total}
+    assert {r.node: r.score for r in data_plans.supplier_rank_whole(spark, "").collect()} == pytest.approx(score, abs=2e-8)
+
+    kept = []
+    real = grouping.spherical_kmeans
+    monkeypatch.setattr(grouping, "spherical_kmeans", lambda *a, **k: kept.append(real(*a, **k)) or kept[-1])
+    data_plans.kmeans_groups(spark, "/root/testdata/sf0.01").collect()
+    cluster = {r.vec_id: r.cluster for r in kept[0].collect()}
+    x = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect() if r.embedding is not None}
+    unit = {i: v / (np.linalg.norm(v) or 1) for i, v in x.items()}
+    centres = {c: sum(unit[i] for i in cluster if cluster[i] == c) for c in set(cluster.values())}
+    centres = {c: v / np.linalg.norm(v) for c, v in centres.items()}
+    assert all(max(centres, key=lambda c: (round(float(unit[i] @ centres[c]), 9), -c)) == cluster[i] for i in cluster)
+
+
 @pytest.mark.parametrize("radius", [3, 7, 10])
 def test_hamming_join(spark, radius):
     rng = random.Random(5)
