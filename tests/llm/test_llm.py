@@ -256,6 +256,17 @@ def test_repeated_passages_in_texts(spark):
     assert got == plain_repeats(rows)
 
 
+def test_few_cut_suffixes_are_asked_for(spark, monkeypatch):
+    monkeypatch.setattr(increment, "RUN", 2)
+    monkeypatch.setattr(increment, "COVERAGE", 0.9)  # 30 % of the pair's suffixes are in cut runs, 70 % aren't
+    rng = random.Random(13)
+    boilerplate = prose(rng, 30)
+    rows = [(i, 0, boilerplate + prose(rng, 42)) for i in range(11)]
+    rows.append((11, 1, rows[10][2] + "改"))
+    got = {r.doc_id: r.dup_of for r in increment.repeated_texts(spark.createDataFrame(rows, "doc_id long, batch_no int, text string")).collect()}
+    assert got == plain_repeats(rows) == {11: 10}
+
+
 def test_segments_merge_logarithmically():
     k = np.array([b"%02d" % (i % 7) for i in range(64)], "S24")
     segments = []
