@@ -376,3 +376,39 @@ def test_split_texts(spark):
 
 def test_normal_forms_of_test_helpers():
     assert unicodedata.normalize("NFKC", "①") == "1"
+
+
+def test_history_is_kept_and_its_texts_stay_unread(spark, tmp_path):
+    rng = random.Random(21)
+    old = [(i, 0, prose(rng, 300)) for i in range(120)]
+    new = [(200 + i, 1, old[i * 7][2][:290] + prose(rng, 10)) for i in range(12)] + [(300, 1, prose(rng, 300))]
+    late = [(400, 2, new[3][2] + "改"), (401, 2, old[5][2]), (402, 2, prose(rng, 200))]
+    schema, folder = "doc_id long, batch_no int, text string", f"file://{tmp_path}/history"
+    first = increment.repeated_texts(spark.createDataFrame(old + new, schema), folder=folder)
+    assert {r.doc_id: r.dup_of for r in first.collect()} == {200 + i: i * 7 for i in range(12)}
+    # of the old texts only the candidates' are given back; all others could be gone
+    wanted = {0, 5, 21, 203}
+    kept = [r for r in old + new if r[0] in wanted]
+    history = increment.History(spark, folder, 1)
+    assert [s.first for s in history.segments] == sorted(s.first for s in history.segments) and sum(map(len, history.segments)) > 0
+    history.close()
+    second = increment.repeated_texts(spark.createDataFrame(kept + late, schema), folder=folder)
+    assert {r.doc_id: r.dup_of for r in second.collect()} == {400: 21, 401: 5}
+
+
+def test_recall_at_the_boundary(spark):
+    rng = random.Random(22)
+    rows = []
+    for i in range(400):  # edits spread evenly, to just about 65 %: what samples of suffixes find hardest
+        size = rng.randrange(300, 1500)
+        text_a = [chr(0x4E00 + rng.randrange(3000)) for _ in range(size)]
+        text_b = list(text_a)
+        for at in range(12, size, rng.choice([24, 25, 26])):
+            text_b[at] = "改"
+        rows += [(2 * i, 0, "".join(text_a)), (2 * i + 1, 1, "".join(text_b))]
+    want = {}
+    for i in range(400):
+        want |= plain_repeats(rows[2 * i : 2 * i + 2])
+    got = {r.doc_id: r.dup_of for r in increment.repeated_texts(spark.createDataFrame(rows, "doc_id long, batch_no int, text string")).collect()}
+    assert len(want) > 200 and not set(got.items()) - set(want.items())
+    assert len(got) >= 0.99 * len(want)
