@@ -18,12 +18,16 @@ KINDS = ("heading", "paragraph", "table row", "sentence", "clause", "character")
 #: Half-width of the window around a target in which the strongest boundary is sought first, as a share of the limit.
 SNAP = 0.15
 
+_FIRM = KINDS.index("sentence")
 _LINE = re.compile(r"\r\n|\r|\n| | ")
 _HEADING = re.compile(r"[\s　]*(?:#{1,6}\s|第[一二三四五六七八九十百\d]+[章节条部分]|[一二三四五六七八九十]+、|（[一二三四五六七八九十]+）|\d+(?:\.\d+)*[ .、．]\s*[^\d\s])")
 _ROW = re.compile(r"[\s　]*\[表格行\d+\]")
 _SENTENCE = re.compile(r"[。！？!?；;…]+[”’」』）)\]】》]*|\.(?=\s)")
 _CLAUSE = re.compile(r"[，,、：:|]+|[\s　]+")
 _LONG_HEADING = 60
+#: Marks after which a text always splits before a letter.
+_SAFE_AFTER = np.zeros(1 << 16, bool)
+_SAFE_AFTER[[ord(c) for c in "\n，。；：、！？…（）《》【】“”|,.;:!?()[]{}<>/=+*%#"]] = True
 
 
 def boundaries(text: str) -> np.ndarray:
@@ -43,79 +47,139 @@ def boundaries(text: str) -> np.ndarray:
     return kind
 
 
+class Counter:
+    """Tokens of any part of one text, without tokenizing it again: only from its two ends to the next safe places.
+
+    A place is safe if whatever stands before it can't change how the text splits there: after a punctuation mark of a
+    fixed set, or a line feed, and before an ideograph or an ASCII letter.
+    """
+
+    def __init__(self, text: str, tokenizer: ByteTokens):
+        self.text, self.tokenizer = text, tokenizer
+        self.before = tokenizer.tokens_before(text)
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        left, right = points[:-1], points[1:]
+        letter = (right >= 0x4E00) & (right <= 0x9FFF) | (right >= 65) & (right <= 90) | (right >= 97) & (right <= 122)
+        self.safe = np.flatnonzero(_SAFE_AFTER[np.minimum(left, 0xFFFF)] & letter) + 1
+        self.known: dict[str, int] = {}
+
+    def _few(self, a: int, b: int) -> int:
+        part = self.text[a:b]
+        if part not in self.known:
+            if len(self.known) > 4096:
+                self.known.clear()
+            self.known[part] = self.tokenizer.count([part])[0]
+        return self.known[part]
+
+    def count(self, start: int, end: int) -> int:
+        i, j = np.searchsorted(self.safe, (start, end))
+        if i >= j or self.safe[j - 1] <= start:
+            return self._few(start, end)
+        p, q = (start if start == 0 else int(self.safe[i])), int(self.safe[j - 1])
+        if end == len(self.text):
+            q = end
+        return (self._few(start, p) if p > start else 0) + int(self.before[q] - self.before[p]) + (self._few(q, end) if q < end else 0)
+
+    def reach(self, start: int, limit: int) -> int:
+        """The farthest end at which the part from start has at most ``limit`` tokens; at least one character."""
+        last = len(self.text)
+        end = max(start + 1, int(np.searchsorted(self.before, self.before[start] + limit, "right")) - 1)
+        while end > start + 1 and (over := self.count(start, end) - limit) > 0:
+            end = max(start + 1, min(end - 1, int(np.searchsorted(self.before, self.before[end] - over, "left"))))
+        while end < last and self.count(start, end + 1) <= limit:
+            end += 1
+        return end
+
+
 def cut(text: str, limit: int, overlap: int, tokenizer: ByteTokens) -> list[tuple[int, int, int, str]]:
     """(start, end, tokens, kind of its end) of the pieces of a text that isn't blank.
 
-    The least number of pieces gives equal targets; each end snaps to the strongest boundary near its target, or, where
-    there is none stronger than a character, to the strongest anywhere the limit allows. Each piece begins where the last
-    ``overlap`` tokens before its predecessor's end begin (at the next character, where a token splits one). The pieces are tokenized again as
-    they are; when one exceeds the limit, or the rest no longer fits, one more piece is planned.
+    A piece ends at a sentence or something stronger wherever one ends in its new part. Under this rule the least number
+    of pieces that the rest of the text needs is known for every such place; each end snaps to the strongest place near
+    its equal target from which the rest still fits into the pieces that are left. Each piece begins where the last
+    ``overlap`` tokens before its predecessor's end begin (at the next character, where a token splits one). Pieces hold
+    the limit as they are, tokenized by themselves; where that makes more of them necessary, they are compared with
+    those that end as far on as they can, and the fewer are taken.
     """
-    before = tokenizer.tokens_before(text)
+    if len(text) <= limit // 4:  # at most 4 bytes, and so at most 4 tokens, a character
+        return [(0, len(text), tokenizer.count([text])[0], "end")]
+    counter = Counter(text, tokenizer)
+    before = counter.before
     total = int(before[-1])
     if total <= limit:
         return [(0, len(text), total, "end")]
     kind = boundaries(text)
-    natural = np.flatnonzero(kind < KINDS.index("character"))
-    count = max(2, -(-(total - overlap) // (limit - overlap)))
-    while True:
-        plan = _plan(text, before, kind, natural, count, limit, overlap, tokenizer)
-        if plan is not None:
-            return plan
-        count += max(1, count // 16)
-
-
-def _plan(text: str, before: np.ndarray, kind: np.ndarray, natural: np.ndarray, count: int, limit: int, overlap: int, tokenizer: ByteTokens) -> list[tuple[int, int, int, str]] | None:
-    total, out, start, reach = int(before[-1]), [], 0, 0
-    for number in range(count):
-        left = count - number
-        if reach >= len(text):
-            break
-        room = limit
-        base = int(before[start])
-        if left == 1 or total - base <= limit:
-            size = tokenizer.count([text[start:]])[0]
-            if size <= limit:
+    firm = np.flatnonzero(kind[1:] <= _FIRM) + 1
+    clauses = np.flatnonzero(kind == KINDS.index("clause"))
+    firm_tokens = before[firm].astype(np.int64)
+    step = limit - overlap
+
+    def after(base: int, known: np.ndarray) -> int:
+        """Pieces from a start at ``base`` tokens on, if those after each firm end are known."""
+        if total - base <= limit:
+            return 1
+        i = int(np.searchsorted(firm_tokens, base + limit, "right"))
+        low = int(np.searchsorted(firm_tokens, base + overlap, "right"))
+        if i > low:
+            return 1 + int(known[i - 1])
+        blank = max(1, -(-(int(firm_tokens[low]) - base - limit) // step))  # pieces without a firm end
+        i = int(np.searchsorted(firm_tokens, base + blank * step + limit, "right"))
+        return blank + 1 + int(known[max(i - 1, low)])
+
+    rest = np.zeros(len(firm), np.int64)  # pieces needed after each firm end; the last is the end of the text
+    far = np.searchsorted(firm_tokens, firm_tokens - overlap + limit, "right") - 1
+    for b in range(len(firm) - 2, -1, -1):
+        rest[b] = 1 + rest[far[b]] if far[b] > b else after(int(firm_tokens[b]) - overlap, rest)
+
+    def walk(balanced: bool) -> list[tuple[int, int, int, str]]:
+        out: list[tuple[int, int, int, str]] = []
+        start = reach = 0
+        left = fewest
+        while reach < len(text):
+            base = int(before[start])
+            if total - base <= limit + 8 and (size := counter.count(start, len(text))) <= limit:
                 out.append((start, len(text), size, "end"))
-                return out
-            if left == 1:
-                return None
-        want = base + (total - base + (left - 1) * overlap) / left
-        while True:
-            end = _snap(before, kind, natural, want, max(reach, start) + 1, base + room, limit)
-            if end is None:
-                return None
-            size = tokenizer.count([text[start:end]])[0]
-            if size <= limit:
                 break
-            room -= max(1, size - limit)  # a piece on its own may take a few tokens more
-            if room <= overlap:
-                return None
-        out.append((start, end, size, KINDS[kind[end]]))
-        reach = end
-        start = int(np.searchsorted(before, before[end] - overlap)) if overlap else end
-        start = min(max(start, out[-1][0] + 1), end)
-    return out if reach >= len(text) else None
-
-
-def _snap(before: np.ndarray, kind: np.ndarray, natural: np.ndarray, want: float, least: int, most: int, limit: int) -> int | None:
-    """The best place for an end near ``want`` tokens: beyond ``least`` characters, and not beyond ``most`` tokens."""
-    last = int(np.searchsorted(before, most, "right")) - 1
-    if last < least:
-        return None
-    for low, high in ((want - SNAP * limit, want + SNAP * limit), (-1.0, float(most))):
-        a = max(least, int(np.searchsorted(before, low)))
-        b = min(last, int(np.searchsorted(before, high, "right")) - 1)
-        inside = natural[np.searchsorted(natural, a) : np.searchsorted(natural, b, "right")]
-        if low < 0:  # prefers what is near within the wide range
-            inside = inside[kind[inside] <= KINDS.index("sentence")] if (kind[inside] <= KINDS.index("sentence")).any() else inside
-            if len(inside):
-                return int(inside[np.argmin(np.abs(before[inside] - want))])
-        elif len(inside) and kind[inside].min() <= KINDS.index("sentence"):
-            best = inside[kind[inside] == kind[inside].min()]
-            return int(best[np.argmin(np.abs(before[best] - want))])
-    near = int(np.searchsorted(before, want))
-    return min(max(near, least), last)
+            most = counter.reach(start, limit)
+            if most <= reach:  # the overlap alone fills the limit
+                start, most = reach, counter.reach(reach, limit)
+            left = max(left, 2)
+            want = base + (total - base + (left - 1) * overlap) / left
+            low, high = np.searchsorted(firm, (reach, most), "right")
+            if high > low:
+                fits = np.arange(low, high)[rest[low:high] <= left - 1] if balanced else np.arange(0)
+                if not len(fits):
+                    fits = np.arange(high - 1, high)
+                near = fits[np.abs(firm_tokens[fits] - want) <= SNAP * limit]
+                best = near[kind[firm[near]] == kind[firm[near]].min()] if len(near) else fits
+                pick = int(best[np.argmin(np.abs(firm_tokens[best] - want))])
+                while pick > low and counter.count(start, int(firm[pick])) > limit:
+                    pick -= 1
+                end, left = int(firm[pick]), max(left - 1, int(rest[pick]))
+            else:
+                end = most
+                if balanced:
+                    some = clauses[np.searchsorted(clauses, reach, "right") : np.searchsorted(clauses, most, "right")]
+                    some = some[np.abs(before[some] - want) <= SNAP * limit]
+                    end = int(some[np.argmin(np.abs(before[some] - want))]) if len(some) else min(max(int(np.searchsorted(before, want)), reach + 1), most)
+                    if after(int(before[end]) - overlap, rest) > left - 1:
+                        end = most
+                left = max(left - 1, after(int(before[end]) - overlap, rest))
+            size = counter.count(start, end)
+            while size > limit and end > reach + 1:
+                end -= 1
+                size = counter.count(start, end)
+            out.append((start, end, size, KINDS[kind[end]]))
+            reach = end
+            start = int(np.searchsorted(before, before[end] - overlap)) if overlap else end
+            start = min(max(start, out[-1][0] + 1), end)
+        return out
+
+    fewest = after(0, rest)
+    out = walk(True)
+    if len(out) > fewest:  # what tokens of its own a piece takes at its ends made it fail; the farthest ends need no more
+        out = min(out, walk(False), key=len)
+    return out
 
 
 def _cut_all(path: str, limit: int, overlap: int):

@@ -374,6 +374,40 @@ def test_split_texts(spark):
     assert pieces.split_texts(frame.limit(0)).count() == 0
 
 
+def test_number_of_pieces_is_least():
+    """Against all ways to cut: an end is a sentence's or stronger wherever one ends in a piece's new part."""
+    rng = random.Random(31)
+    counter = tokens.load(tokens.MULTILINGUAL)
+    limit, overlap, same, tried = 24, 4, 0, 0
+    for number in range(60):
+        body = prose(rng, rng.randrange(40, 160)) if number % 3 == 0 else "".join(prose(rng, rng.randrange(2, 18)) + rng.choice("，。；。\n") for _ in range(rng.randrange(3, 14)))
+        before, kind = counter.tokens_before(body), pieces.boundaries(body)
+        if before[-1] <= limit:
+            continue
+        best, todo = {(0, 0): 0}, [(0, 0)]
+        least = None
+        while todo and least is None:
+            coming = []
+            for start, reach in todo:
+                if counter.count([body[start:]])[0] <= limit:
+                    least = best[start, reach] + 1
+                    break
+                ends = [e for e in range(reach + 1, len(body)) if counter.count([body[start:e]])[0] <= limit]
+                ends = [e for e in ends if kind[e] <= 3] or ends
+                for e in ends:
+                    s = min(max(int(np.searchsorted(before, before[e] - overlap)), start + 1), e)
+                    if (s, e) not in best:
+                        best[s, e] = best[start, reach] + 1
+                        coming.append((s, e))
+            todo = coming
+        got = pieces.cut(body, limit, overlap, counter)
+        assert all(counter.count([body[a:b]])[0] == n <= limit for a, b, n, _ in got)
+        tried += 1
+        same += len(got) == least
+        assert len(got) <= least + 1
+    assert tried > 30 and same >= 0.95 * tried
+
+
 def test_normal_forms_of_test_helpers():
     assert unicodedata.normalize("NFKC", "①") == "1"
 
