@@ -325,6 +325,23 @@ def test_pfair_is_fair():
     assert done == blocks
 
 
+def test_pfair_is_fair_over_frames():
+    rng = random.Random(41)
+    for _ in range(150):
+        blocks = {f"s{i}": rng.choice([1, 2, 7, 30, 200]) + rng.randrange(9) for i in range(rng.randrange(1, 8))}
+        total, size = sum(blocks.values()), rng.randrange(3, 40)
+        done = Counter()
+        cuts = mixing.edges(blocks, size)
+        assert len(cuts) == -(-total // size) + 1 and cuts[-1] == blocks
+        for number, (now, end) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            for slot, (s, k) in enumerate(mixing.frame(now, end), number * size):
+                assert k == done[s]
+                done[s] += 1
+                assert all(abs(done[x] - n * (slot + 1) / total) < 2 for x, n in blocks.items())
+            assert all(abs(done[x] - n * (slot + 1) / total) < 1 for x, n in blocks.items())
+        assert done == blocks
+
+
 def test_mixture(spark):
     rng = random.Random(10)
     sources = ["big"] * 400 + ["mid"] * 60 + ["small"] * 20 + ["none"] * 5
