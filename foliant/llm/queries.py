@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foliant.llm.components import connected_groups, similarity_links
 from foliant.llm.confusables import not_plain, values_of
 from foliant.llm.increment import repeated_texts
-from foliant.llm.leakage import leaked_items
+from foliant.llm.leakage import leaked_items, leaked_spans
 from foliant.llm.mixing import mixture
 from foliant.llm.names import named_units
 from foliant.llm.neighbours import similar_vectors
@@ -67,6 +67,11 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_items(_table(spark, folder, "documents"), _table(spark, folder, "eval_items")).select("doc_id", "item_id")
 
 
+def p8_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Where in the documents test items leak, and the longest match of each place."""
+    return leaked_spans(_table(spark, folder, "documents"), _table(spark, folder, "eval_items"))
+
+
 def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixture(_table(spark, folder, "documents"), _table(spark, folder, "source_weights"))[0]
 
@@ -89,6 +94,7 @@ QUERIES = {
     "p6_found": p6_found,
     "p7_found": p7_found,
     "p8_found": p8_found,
+    "p8_spans": p8_spans,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
     "p10_pieces": p10_pieces,

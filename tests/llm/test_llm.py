@@ -312,6 +312,21 @@ def test_leaked_items(spark, monkeypatch):
     assert leakage.leaked_items(a.limit(0), b).count() == 0 and leakage.leaked_items(a, b.limit(0)).count() == 0
 
 
+def test_leaked_spans_and_their_removal(spark):
+    rng = random.Random(19)
+    item, other = prose(rng, 60), prose(rng, 200)
+    head, tail = "前" * 20, "后" * 20
+    docs = [(1, head + item[:30] + "，" + item[30:] + tail), (2, head + item[:12] + tail), (3, head + other[70:125] + tail), (4, None), (5, head + "Ａ" + other[:90].upper() + tail), (6, other[:15] + head + other[100:190])]
+    a = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(7, item), (8, other)], "item_id long, text string")
+    spans_ = leakage.leaked_spans(a, b)
+    assert sorted(map(tuple, spans_.collect())) == [(1, 20, 81, 60), (3, 20, 75, 55), (5, 21, 111, 90), (6, 0, 15, 15), (6, 35, 125, 90)]
+    left = {r.doc_id: (r.text, r.removed) for r in leakage.without_leaks(a, spans_).collect()}
+    assert left == {1: (head + tail, 61), 2: (docs[1][1], 0), 3: (head + tail, 55), 4: (None, None), 5: (head + "Ａ" + tail, 90), 6: (head, 105)}
+    assert leakage.leaked_spans(a.limit(0), b).count() == 0
+    assert leakage.folded_places("e\u0301①，x").tolist() == [0, 2, 4, 5]
+
+
 # --- p9 --------------------------------------------------------------------------------------------------------------
 def test_pfair_is_fair():
     blocks = {"a": 37, "b": 11, "c": 1, "d": 52}
