@@ -103,13 +103,18 @@ QUERIES = {
 # SQL can't express what the other problems need: compatibility forms, decoded vectors, trained models, spellings. Their
 # operators are tested against plain versions.
 
-ORACLES: dict[str, str] = {
-    "p1_found": """WITH s AS (SELECT DISTINCT match_id, doc_a, text FROM match_segments WHERE length(text) >= 60),
+_SPANS = """s AS (SELECT DISTINCT match_id, doc_a, text FROM match_segments WHERE length(text) >= 60),
         w AS (SELECT match_id, doc_a, i, substr(text, i + 1, 60) AS g FROM (SELECT match_id, doc_a, text, unnest(range(0, length(text) - 59)) AS i FROM s)),
         h AS (SELECT g FROM w GROUP BY g HAVING count(DISTINCT doc_a) > 1), f AS (SELECT match_id, i FROM w SEMI JOIN h USING (g)),
         m AS (SELECT match_id, i, i - lag(i) OVER (PARTITION BY match_id ORDER BY i) AS step FROM f),
         n AS (SELECT match_id, i, sum(CASE WHEN step <= 60 THEN 0 ELSE 1 END) OVER (PARTITION BY match_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM m)
-        SELECT match_id, min(i)::BIGINT AS span_start, max(i)::BIGINT + 60 AS span_end FROM n GROUP BY match_id, run""",
+        spans AS (SELECT match_id, min(i)::BIGINT AS span_start, max(i)::BIGINT + 60 AS span_end FROM n GROUP BY match_id, run)"""
+
+ORACLES: dict[str, str] = {
+    "p1_found": f"WITH {_SPANS} SELECT * FROM spans",
+    "p1_share": f"""WITH {_SPANS}, sizes AS (SELECT match_id, max(coalesce(length(text), 0))::BIGINT AS n_chars FROM match_segments WHERE match_id IS NOT NULL GROUP BY match_id),
+        sums AS (SELECT match_id, sum(span_end - span_start)::BIGINT AS shared_chars FROM spans GROUP BY match_id)
+        SELECT match_id, n_chars, coalesce(shared_chars, 0) AS shared_chars, round(coalesce(shared_chars, 0)::DOUBLE / nullif(n_chars, 0), 6) AS shared_share FROM sizes LEFT JOIN sums USING (match_id)""",
     "p3_found": """WITH RECURSIVE v AS (SELECT doc_a AS a, doc_b AS b, CASE WHEN similarity > 1 THEN similarity / 100 ELSE similarity END AS s FROM document_similarity WHERE doc_a <> doc_b AND similarity IS NOT NULL AND NOT isnan(similarity)),
         e AS (SELECT DISTINCT a, b FROM v WHERE s >= 0.5), arrows AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
         r(node, met) AS (SELECT a, a FROM arrows UNION SELECT r.node, arrows.b FROM r JOIN arrows ON r.met = arrows.a)

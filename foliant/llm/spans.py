@@ -21,8 +21,9 @@ from foliant.session import Stash, spread
 GRAM = 24
 #: Code points in one FM-index, about.
 SHARD_CHARS = 600_000
-#: Different stretches under one minimizer beyond which they are compared window by window, by hash, instead.
-HOT = 4_000
+#: Different stretches under one minimizer beyond which they are cut again by the minimizers of longer grams; the last are
+#: as long as the length sought, under which no two stretches differ.
+HOT, LONGER = 4_000, (42,)
 
 
 def minimizers(points: np.ndarray, bounds: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -53,7 +54,7 @@ def _anchors(length: int):
         for batch in pieces(batches, "text"):
             row, h, start, end = minimizers(*code_points(batch.column("text")), length)
             take = pa.array(row)
-            yield pa.record_batch([pa.array(h.view(np.int64)), batch.column("owner").take(take), batch.column("id").take(take), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["h", "owner", "id", "start", "end"])
+            yield pa.record_batch([pa.array(h.view(np.int64)), *(batch.column(c).take(take) for c in ("owner", "id", "body")), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["h", "owner", "id", "body", "start", "end"])
 
     return run
 
@@ -61,12 +62,13 @@ def _anchors(length: int):
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cuts each record's stretches out of its text."""
     for batch in batches:
-        out: list[list] = [[], [], [], [], [], []]
-        for key, owner, text, parts in zip(*(batch.column(c).to_pylist() for c in ("id", "owner", "text", "parts")), strict=True):
+        out: list[list] = [[], [], [], [], [], [], []]
+        for key, owner, body, text, parts in zip(*(batch.column(c).to_pylist() for c in ("id", "owner", "body", "text", "parts")), strict=True):
             for p in parts:
-                for column, value in zip(out, (p["h"], owner, key, p["start"], p["end"], text[p["start"] : p["end"]]), strict=True):
+                for column, value in zip(out, (p["h"], owner, key, body, p["start"], p["end"], text[p["start"] : p["end"]]), strict=True):
                     column.append(value)
-        yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], batch.schema.field("id").type), pa.array(out[3], pa.int32()), pa.array(out[4], pa.int32()), pa.array(out[5], pa.string())], names=["h", "owner", "id", "start", "end", "stretch"])
+        types = (pa.int64(), pa.int64(), batch.schema.field("id").type, pa.int64(), pa.int32(), pa.int32(), pa.string())
+        yield pa.record_batch([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["h", "owner", "id", "body", "start", "end", "stretch"])
 
 
 class Bits:
@@ -214,23 +216,31 @@ def _index_shard(length: int):
     return run
 
 
-def _windows(length: int):
+def _longer(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Stretches cut by the minimizers of longer grams, each under a key of both."""
         for batch in pieces(batches, "stretch"):
             points, bounds = code_points(batch.column("stretch"))
-            begins = whole(bounds, length)
-            row = row_of(bounds)[begins]
+            row, h, start, end = minimizers(points, bounds, length, gram)
+            if not len(row):
+                continue
             take = pa.array(row)
-            two = gram_hash(points, length)[begins], gram_hash(points[::-1].copy(), length)[::-1][begins]
-            yield pa.record_batch([*(batch.column(c).take(take) for c in ("h", "digest", "low", "high")), pa.array((begins - bounds[row]).astype(np.int32)), pa.array(two[0].view(np.int64)), pa.array(two[1].view(np.int64))], names=["h", "digest", "low", "high", "from", "w1", "w2"])
+            before = batch.column("h").to_numpy().view(U)[row]
+            with np.errstate(over="ignore"):
+                key = (before * U(0x9E3779B97F4A7C15)) ^ h
+            at = batch.column("start").to_numpy()[row]
+            text = points.tobytes().decode("utf-32-le")
+            a, b = (bounds[row] + start).tolist(), (bounds[row] + end).tolist()
+            yield pa.record_batch([pa.array(key.view(np.int64)), *(batch.column(c).take(take) for c in ("owner", "id", "body")), pa.array((at + start).astype(np.int32)), pa.array((at + end).astype(np.int32)), pa.array([text[x:y] for x, y in zip(a, b, strict=True)], pa.string())], names=["h", "owner", "id", "body", "start", "end", "stretch"])
 
     return run
 
 
 def _merge(table: pa.Table) -> pa.Table:
     keys, owner = np.unique(table.column("id").to_numpy(zero_copy_only=False), return_inverse=True)
+    texts, owner = np.unique(np.stack([owner, table.column("body").to_numpy()]), axis=1, return_inverse=True)
     o, s, e = spans_union(owner, table.column("start").to_numpy().astype(np.int64), table.column("end").to_numpy().astype(np.int64))
-    return pa.table({"id": pa.array(keys[o], table.schema.field("id").type), "span_start": pa.array(s), "span_end": pa.array(e)})
+    return pa.table({"id": pa.array(keys[texts[0][o]], table.schema.field("id").type), "span_start": pa.array(s), "span_end": pa.array(e)})
 
 
 def shared_spans(records: DataFrame, length: int = 60, record_id: str = "match_id", owner: str = "doc_a", text: str = "text", stash: Stash | None = None) -> DataFrame:
@@ -238,36 +248,42 @@ def shared_spans(records: DataFrame, length: int = 60, record_id: str = "match_i
     occur, unchanged, in a record of another owner. Spans are half-open offsets in code points.
 
     Whole rows that repeat count once. Null or shorter texts have no span; a null id is left out; a null owner is an owner of its own for each record.
-    Texts that occur under many owners are brought together by partial aggregation and enter an index once. A minimizer
-    with more than HOT different stretches (a common phrase in differing surroundings) is too much for one index: its
-    windows are compared by their hashes of 128 bits, spread over all tasks.
+    Several texts under one id are told apart. Texts that occur under many owners are brought together by partial
+    aggregation and enter an index once. A minimizer with more than HOT different stretches (a common phrase in differing
+    surroundings) is too much for one index: they are cut again by longer minimizers, and go to the indexes of those.
     """
     spark = records.sparkSession
     stash = stash or Stash(spark)
     own = F.xxhash64(F.coalesce(F.col(owner).cast("string"), F.concat(F.lit("\0"), F.col(record_id).cast("string"))))
-    source = records.select(F.col(record_id).alias("id"), own.alias("owner"), F.col(text).alias("text")).where(F.col("id").isNotNull() & (F.length("text") >= length))
+    source = records.select(F.col(record_id).alias("id"), own.alias("owner"), F.col(text).alias("text"), F.xxhash64(F.col(text), F.length(text)).alias("body")).where(F.col("id").isNotNull() & (F.length("text") >= length))
     kind = source.schema["id"].dataType.simpleString()
-    anchors = spread(source).mapInArrow(_anchors(length), f"h long, owner long, id {kind}, start int, end int")
+    anchors = spread(source).mapInArrow(_anchors(length), f"h long, owner long, id {kind}, body long, start int, end int")
     anchors = stash.keep(anchors, "anchors")
     shared = anchors.groupBy("h").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).where("low <> high").select("h")
-    parts = anchors.join(shared, "h").groupBy("id", "owner").agg(F.collect_set(F.struct("h", "start", "end")).alias("parts"))
-    cut = source.dropDuplicates(["id", "owner"]).join(parts, ["id", "owner"]).select("id", "owner", "text", "parts")
-    places = cut.mapInArrow(_stretches, f"h long, owner long, id {kind}, start int, end int, stretch string")
-    places = stash.keep(places.withColumn("digest", F.md5("stretch")), "places")
-    distinct = places.groupBy("h", "digest").agg(F.min("owner").alias("low"), F.max("owner").alias("high"), F.first("stretch").alias("stretch"))
-    distinct = stash.keep(distinct, "distinct")
-    load = distinct.groupBy("h").agg(F.count("*").alias("n"), F.sum(F.length("stretch") + 1).alias("chars"), F.min("low").alias("low"), F.max("high").alias("high"))
-    load = stash.keep(load, "load")
-    total = load.where(F.col("n") <= HOT).agg(F.sum("chars")).first()[0] or 0
+    parts = anchors.join(shared, "h").groupBy("id", "owner", "body").agg(F.collect_set(F.struct("h", "start", "end")).alias("parts"))
+    cut = source.dropDuplicates(["id", "owner", "body"]).join(parts, ["id", "owner", "body"]).select("id", "owner", "body", "text", "parts")
+    rows = f"h long, owner long, id {kind}, body long, start int, end int, stretch string"
+    places = stash.keep(cut.mapInArrow(_stretches, rows).withColumn("digest", F.md5("stretch")), "places")
+    cool_places, cool = None, None
+    for gram in (*(g for g in LONGER if GRAM < g < length), length, None):
+        distinct = places.groupBy("h", "digest").agg(F.min("owner").alias("low"), F.max("owner").alias("high"), F.first("stretch").alias("stretch"))
+        distinct = stash.keep(distinct, "distinct")
+        hot = distinct.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("h")
+        hot = stash.keep(hot, "hot") if gram else None
+        done = hot is None or not hot.take(1)
+        mine, own = (places, distinct) if done else (places.join(hot, "h", "left_anti"), distinct.join(hot, "h", "left_anti"))
+        cool_places, cool = (mine, own) if cool is None else (cool_places.unionByName(mine), cool.unionByName(own))
+        if done:
+            break
+        again = stash.keep(places.join(hot, "h", "left_semi").drop("digest").mapInArrow(_longer(length, gram), rows).withColumn("digest", F.md5("stretch")), "longer")
+        shared = again.groupBy("h").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).where("low <> high").select("h")
+        places = stash.keep(again.join(shared, "h", "left_semi"), "places")
+        stash.drop(again)
+    places = cool_places
+    total = cool.agg(F.sum(F.length("stretch") + 1)).first()[0] or 0
     shards = max(1, -(-total // SHARD_CHARS))
-    cool = distinct.join(load.where(F.col("n") <= HOT).select("h"), "h", "left_semi").withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int"))
-    spans = cool.groupBy("shard").applyInArrow(_index_shard(length), "h long, digest string, from int, to int")
-    if load.where(F.col("n") > HOT).take(1):
-        hot = distinct.join(load.where(F.col("n") > HOT).select("h"), "h", "left_semi")
-        windows = hot.repartition(F.xxhash64("digest")).mapInArrow(_windows(length), "h long, digest string, low long, high long, from int, w1 long, w2 long")
-        common = windows.groupBy("w1", "w2").agg(F.min("low").alias("a"), F.max("high").alias("b")).where("a <> b").select("w1", "w2")
-        spans = spans.unionByName(windows.join(common, ["w1", "w2"]).select("h", "digest", "from", (F.col("from") + length).cast("int").alias("to")))
-    found = places.join(spans, ["h", "digest"]).select("id", (F.col("start") + F.col("from")).alias("start"), (F.col("start") + F.col("to")).alias("end"))
+    spans = cool.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(_index_shard(length), "h long, digest string, from int, to int")
+    found = places.join(spans, ["h", "digest"]).select("id", "body", (F.col("start") + F.col("from")).alias("start"), (F.col("start") + F.col("to")).alias("end"))
     buckets = F.pmod(F.xxhash64("id"), F.lit(max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards))).cast("int")
     return found.distinct().groupBy(buckets.alias("bucket")).applyInArrow(_merge, f"id {kind}, span_start long, span_end long").withColumnRenamed("id", record_id)
 

@@ -81,6 +81,14 @@ def test_shared_spans(spark, monkeypatch, hot):
     assert spans.shared_spans(frame.limit(0)).count() == 0
 
 
+def test_several_texts_under_one_id(spark):
+    rng = random.Random(14)
+    a, b = prose(rng, 100), prose(rng, 100)
+    rows = [(1, "A", prose(rng, 30) + a + prose(rng, 5)), (1, "A", prose(rng, 90) + b + prose(rng, 5)), (2, "B", a), (3, "C", b)]
+    got = {tuple(r) for r in spans.shared_spans(spark.createDataFrame(rows, "match_id long, doc_a string, text string")).collect()}
+    assert got == plain_spans(rows, 60) == {(1, 30, 130), (1, 90, 190), (2, 0, 100), (3, 0, 100)}
+
+
 def test_fm_index_counts_patterns():
     rng = random.Random(2)
     rows = [np.array([rng.randrange(1, 4) for _ in range(rng.randrange(12, 40))], np.uint32) for _ in range(30)]
