@@ -3,8 +3,8 @@
 Weak labels come from phrases. A bounded sample of labelled records trains a logistic regression whose features are
 hashed character n-grams, n-grams of character classes, the record's length, and its beginning and end (marked, so that
 titles and field names count by their place). The score of a record is that of its highest window, so residue in the
-middle of a long text counts as much as a text that consists of it. The threshold is set, and quality measured, on
-records of groups (documents, units) that training never saw.
+middle of a long text counts as much as a text that consists of it. The threshold is set on records of groups
+(documents, units) that training never saw, and quality is measured on those of others that neither saw.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ from foliant.session import Stash, spread
 #: Bounds of the sample that training reads, lowest hashes of the texts first: records without residue, records with it,
 #: and records looked at for their weak label.
 SAMPLE, SAMPLE_RESIDUE, LOOKED_AT = 12_000, 6_000, 200_000
-#: Code points in a window, bits of a feature's hash, share of groups held out.
-WINDOW, BITS, HELD_OUT = 16, 18, 0.25
+#: Code points that a text gives to the sample at most: around its phrase, or at a place that follows from its hash.
+EXCERPT = 4000
+#: Code points in a window, bits of a feature's hash, share of groups held out to set the threshold, and to measure.
+WINDOW, BITS, HELD_OUT, MEASURED = 16, 18, 0.15, 0.10
 START, END = 2, 3
 
 # Phrases of residue, as weak labels. Placeholders, hints and failed fields of forms and office documents:
@@ -172,17 +174,18 @@ def _in_parts(model: Residue, points: np.ndarray, bounds: np.ndarray, size: int
 
 
 def train(texts: list[str], groups: list[str], rounds: int = 3, steps: int = 40) -> Residue:
-    """The model from weakly labelled texts; groups are held out whole to set the threshold and to measure."""
+    """The model from weakly labelled texts; some groups are held out whole to set the threshold, and others to measure."""
     spans = [weak_span(t) for t in texts]
     if not any(spans):  # nothing to learn from: nothing is residue
         return Residue(np.zeros((1 << BITS) + 16), 0.0, float("inf"), {"held_out": 0, "residue": 0.0, "precision": 1.0, "recall": 1.0})
     y = np.array([s is not None for s in spans], float)
-    held = np.array([zlib.crc32(g.encode()) % 1000 < 1000 * HELD_OUT for g in groups], bool)
+    place = np.array([zlib.crc32(g.encode()) % 1000 / 1000 for g in groups])
+    held, measured = place < HELD_OUT, (place >= HELD_OUT) & (place < HELD_OUT + MEASURED)
     points, bounds = code_points(pa.array(texts, pa.string()))
     marked, edges = _marked(points, bounds)
     sizes = np.diff(bounds)
     model = Residue(np.zeros((1 << BITS) + 16), 0.0, 0.0, {})
-    fit = np.flatnonzero(~held)
+    fit = np.flatnonzero(~held & ~measured)
     rng = np.random.default_rng(7)
     room = np.diff(edges) - WINDOW
     middle = np.array([(s[0] + s[1]) // 2 + 1 - WINDOW // 2 if s else 0 for s in spans])
@@ -209,14 +212,21 @@ def train(texts: list[str], groups: list[str], rounds: int = 3, steps: int = 40)
     cut = int(top[len(top) // 2]) if len(f1) else 0
     below = score[order[cut + 1]] if cut + 1 < len(order) else score[order[cut]] - 2
     model.threshold = float((score[order[cut]] + below) / 2)
-    model.report = {"held_out": len(order), "residue": float(y[order].sum()), "precision": float(hits[cut] / (cut + 1)), "recall": float(hits[cut] / max(1, y[order].sum()))}
+    seen = np.flatnonzero(measured) if y[measured].any() else test
+    hit = score[seen] > model.threshold
+    model.report = {"held_out": len(seen), "residue": float(y[seen].sum()), "precision": float((y[seen] * hit).sum() / max(1, hit.sum())), "recall": float((y[seen] * hit).sum() / max(1, y[seen].sum()))}
     return model
 
 
 def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        label = [weak_span(t) is not None for t in batch.column("value").to_pylist()]
-        yield pa.record_batch([pa.array(label, pa.bool_()), batch.column("h"), batch.column("value"), batch.column("grp")], names=["residue", "h", "value", "grp"])
+        label, parts = [], []
+        for h, text in zip(batch.column("h").to_pylist(), batch.column("value").to_pylist(), strict=True):
+            span = weak_span(text)
+            room = max(0, len(text) - EXCERPT)
+            at = min(room, max(0, (span[0] + span[1] - EXCERPT) // 2)) if span else h % (room + 1)
+            label.append(span is not None), parts.append(text[at : at + EXCERPT])
+        yield pa.record_batch([pa.array(label, pa.bool_()), batch.column("h"), pa.array(parts, pa.string()), batch.column("grp")], names=["residue", "h", "value", "grp"])
 
 
 def _score(model: Residue, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
