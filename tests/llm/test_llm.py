@@ -290,6 +290,9 @@ def test_plain_form(spark):
     cases = {"ΝΟx": "NOx", "Неха Соаt": "Hexa Coat", "（Α类）": "(A类)", "Sélène": "Sélène", "Sélène": "Sélène", "m²️": "m²", "⽔⻋": "水车", "H₂О": "H₂O", "α–Fｅ": "α-Fe", "a b　c": "a b c", "車輛": "車輛", "Москва": "Москва", "αβμ": "αβμ", "３D": "3D", "": "", "理": "理", "エ业": "工业"}
     for value, plain in cases.items():
         assert confusables.plain_form(value) == plain == confusables.plain_form(plain)
+    more = {"ɑdmin": "admin", "ʜello": "Hello", "Ꭺpple": "Apple", "ꓮBC": "ABC", "Dıgital": "Digital", "НАСА": "НАСА", "РОСА": "РОСА", "Станция РОСА": "Станция РОСА", "系统НАСА": "系统HACA", "Мoсква": "Москва", "γ射线": "γ射线", "øre": "øre", "Ԛ线": "Q线"}
+    for value, plain in more.items():
+        assert confusables.plain_form(value) == plain == confusables.plain_form(plain)
     frame = spark.createDataFrame([(i, v, "c") for i, v in enumerate([*cases, None])] + [(0, "ΝΟx", "c")], "id int, xmmc string, value string")
     got = {(r.record_id, r.plain_form) for r in confusables.not_plain(confusables.values_of({"xmmc": (frame, "id")})).collect()}
     assert got == {(str(i), p) for i, (v, p) in enumerate(cases.items()) if v != p}
