@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import unicodedata
@@ -52,14 +53,26 @@ def invisible(char: str) -> bool:
     return kind == "Cf" or (kind == "Cc" and char not in "\t\n\r\f\v") or 0xFE00 <= point <= 0xFE0F or 0xE0100 <= point <= 0xE01EF or 0x180B <= point <= 0x180F or point in (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0)
 
 
+_given: dict[str, str] = {}
+
+
+def give(table: dict[str, str]) -> None:
+    """In a worker: the confusables data that the driver has read."""
+    _given.update(table)
+
+
 @cache
 def prototypes() -> dict[str, str]:
-    """What each character of the public Unicode confusables data looks like, read from the ICU library that Spark has.
+    """What each character of the public Unicode confusables data looks like, read from the ICU library among Spark's jars,
+    which the driver has; workers are given it.
 
     Layout: a header with the places of three tables; keys (code point, and length of what it looks like less one), then for
     each key a code unit, or where its string begins, then the strings; all big-endian.
     """
-    jars = sorted(Path(pyspark.__file__).parent.glob("jars/icu4j-[0-9]*.jar"))
+    if _given:
+        return _given
+    places = [*Path(pyspark.__file__).parents, Path(os.environ.get("SPARK_HOME", "/nowhere"))]
+    jars = [jar for place in places for jar in sorted(place.glob("jars/icu4j-[0-9]*.jar"))]
     if not jars:
         raise FileNotFoundError("Spark's jars hold no icu4j, whose confusables data this needs")
     with zipfile.ZipFile(jars[-1]) as jar:
@@ -193,7 +206,8 @@ def plain_form(text: str) -> str:
     return _KANA_IN_HAN.sub(lambda m: KANA[m[0]], text)
 
 
-def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _forms(seen: dict[str, str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    give(seen)
     for batch in batches:
         names, ids, values = [], [], []
         for field, key, value in zip(*(batch.column(c).to_pylist() for c in ("field_name", "record_id", "value")), strict=True):
@@ -217,4 +231,5 @@ def not_plain(values: DataFrame) -> DataFrame:
 
     Empty values are plain. A record with several different values gives a row for each of them that isn't plain.
     """
-    return spread(values).mapInArrow(_forms, "field_name string, record_id string, plain_form string").distinct()
+    seen = prototypes()
+    return spread(values).mapInArrow(lambda it: _forms(seen, it), "field_name string, record_id string, plain_form string").distinct()

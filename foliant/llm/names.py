@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.confusables import plain_form
+from foliant.llm.confusables import give, plain_form, prototypes
 from foliant.session import spread
 
 #: Names in the register that one index holds. A larger register is split; each part is broadcast in turn.
@@ -305,8 +305,9 @@ def resolve(register: Register, value: str) -> int | None:
     return found.pop() if len(found) == 1 else None
 
 
-def _links(register: Register):
+def _links(register: Register, seen: dict[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give(seen)
         for batch in batches:
             values = batch.column("value").to_pylist()
             units = [resolve(register, v) for v in values]
@@ -328,9 +329,10 @@ def named_units(values: DataFrame, register: DataFrame) -> DataFrame:
     rows = sorted((r.unit_id, r.unit_name, r.city, r.province) for r in register.select("unit_id", "unit_name", F.coalesce("city", F.lit("")).alias("city"), F.coalesce("province", F.lit("")).alias("province")).dropna().distinct().toLocalIterator())
     spelled = spread(values.select("value").dropna().distinct())
     links: DataFrame | None = None
+    seen = prototypes()
     for a in range(0, max(1, len(rows)), REGISTER_PART):
         shared = spark.sparkContext.broadcast(build_register(rows[a : a + REGISTER_PART]))
-        part = spelled.mapInArrow(lambda it, b=shared: _links(b.value)(it), "value string, unit_id long")
+        part = spelled.mapInArrow(lambda it, b=shared: _links(b.value, seen)(it), "value string, unit_id long")
         links = part if links is None else links.unionByName(part)
     if len(rows) > REGISTER_PART:
         links = links.groupBy("value").agg(F.min("unit_id").alias("unit_id"), F.count("*").alias("n")).where("n = 1").drop("n")
