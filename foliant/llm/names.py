@@ -1,17 +1,16 @@
 """Variant spellings of registered names: suffix blocking, then longest common subsequences and the edits between.
 
-The register is turned into the forms in which people shorten and reorder its names. A form is found by its suffixes;
-a suffix that is too common is not dropped but refined by the first characters of the name (its place). Candidates are
-compared by the ratio of their longest common subsequence, and the best must be unique and differ only by slips that
-leave the distinguishing characters (place and proper name) in place.
+Registered names enter in the forms in which people shorten and reorder them, typed ones in the readings that set off a
+department. Both sides are indexed by their suffixes and meet by a shuffled join on them; a suffix that is too common is
+only dropped where it stands alone, after it has been refined by the characters of the name's place. Every pair that
+meets is compared by the ratio of the longest common subsequence and by its slips, which must leave the distinguishing
+characters (place and proper name) in place; the best unit over all pairs must be the only one.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,10 +19,10 @@ from pyspark.sql import functions as F
 from foliant.llm.confusables import give, plain_form, prototypes
 from foliant.session import spread
 
-#: Names in the register that one index holds. A larger register is split; each part is broadcast in turn.
-REGISTER_PART = 50_000
-#: Shortest suffix that is indexed, and how many forms may share one before it is refined.
+#: Shortest suffix that is indexed, and how many forms may share one before it only counts refined.
 SUFFIX, COMMON = 2, 40
+#: Provinces in a register at most; they are the only part of it that the driver sees.
+PROVINCES = 10_000
 #: Least ratio of the longest common subsequence.
 RATIO = 0.72
 
@@ -94,60 +93,15 @@ def _allowed(size: int) -> int:
     return 0 if size < 4 else 1 if size < 8 else 2 if size < 13 else 3
 
 
-@dataclass
-class Register:
-    """All forms of the registered names, which names each stands for, and the index of their suffixes."""
-
-    names: dict[str, int]
-    full: dict[int, str]
-    provinces: frozenset[str]
-    forms: list[str] = field(default_factory=list)
-    guarded: list[frozenset[str]] = field(default_factory=list)
-    units: list[set[int]] = field(default_factory=list)
-    weak: list[set[int]] = field(default_factory=list)
-    at: dict[str, int] = field(default_factory=dict)
-    long: set[int] = field(default_factory=set)
-    index: dict[tuple, list[int]] = field(default_factory=dict)
-    longest: int = 0
-
-    def add(self, form: str, unit: int, guarded: str, fuzzy: bool, weak: bool = False) -> None:
-        """weak: the form has another legal form than the name; it only counts if no other name has the form as its own."""
-        if len(form) < 3:
-            return
-        if form not in self.at:
-            self.at[form] = len(self.forms)
-            self.forms.append(form), self.guarded.append(frozenset(guarded)), self.units.append(set()), self.weak.append(set())
-        (self.weak if weak else self.units)[self.at[form]].add(unit)
-        if fuzzy:
-            self.long.add(self.at[form])
-        self.longest = max(self.longest, len(form))
-
-    def build(self) -> Register:
-        self.units = [own or other for own, other in zip(self.units, self.weak, strict=True)]
-        index: dict[tuple, list[int]] = defaultdict(list)
-        for i in sorted(self.long):
-            for key in block_keys(self.forms[i]):
-                index[key].append(i)
-        # a plain suffix that too many share is left to its refined keys; refined keys are never dropped
-        self.index = {k: v for k, v in index.items() if len(k) > 1 or len(v) <= COMMON}
-        return self
-
-    def candidates(self, text: str) -> list[int]:
-        out: set[int] = set()
-        for key in block_keys(text):
-            out.update(self.index.get(key, ()))
-        return sorted(out)
-
-
-def block_keys(text: str) -> set[tuple]:
-    """Suffixes by themselves, and refined by each of the first three characters; the beginning in both orders."""
-    keys: set[tuple] = set()
-    for size in range(SUFFIX, min(len(text), 5) + 1):
-        tail = text[-size:]
-        keys.add((tail,))
-        keys.update((tail, c) for c in text[:3])
-    head = text[:4]
-    keys.update(("^", *sorted(head[i : i + 2])) for i in range(max(0, min(2, len(head) - 1))))
+def block_keys(text: str, slips: bool = True) -> set[str]:
+    """Suffixes refined by each of the first three characters, where a name has its place; for texts in which slips are looked
+    for, suffixes by themselves, and the beginning with each of the last three characters."""
+    keys = {f"{text[-SUFFIX:]}|{c}" for c in text[:3]}
+    if slips:
+        keys.update(text[-size:] for size in range(SUFFIX, min(len(text), 5) + 1))
+        head = text[:4]
+        pairs = {"".join(sorted(head[i : i + 2])) for i in range(max(0, min(2, len(head) - 1)))}
+        keys.update(f"^{pair}|{c}" for pair in pairs for c in text[-3:])
     return keys
 
 
@@ -223,14 +177,26 @@ def name_forms(name: str, city: str) -> Iterator[tuple[str, str, bool, bool]]:
             yield place + body, city, True, False
 
 
-def build_register(units: list[tuple[int, str, str, str]]) -> Register:
-    """From (id, name, city, province)."""
-    out = Register({n: u for u, n, _, _ in units}, {u: clean(n) for u, n, _, _ in units}, frozenset(p for *_, p in units if p))
-    for unit, name, city, _ in units:
-        for form, guarded, fuzzy, weak in name_forms(name, city):
-            out.add(form, unit, guarded, fuzzy, weak)
-        out.add(clean(name), unit, clean(city) or clean(name), True)
-    return out.build()
+def _forms(seen: dict[str, str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(form, unit, guarded, full, fuzzy, weak) of registered names. weak: the form has another legal form than the name; it
+    only counts if no other name has the form as its own."""
+    give(seen)
+    for batch in batches:
+        rows: dict[tuple[str, int], list] = {}
+        for unit, name, city in zip(*(batch.column(c).to_pylist() for c in ("unit_id", "unit_name", "city")), strict=True):
+            full = clean(name)
+            for form, guarded, fuzzy, weak in (*name_forms(name, city), (full, clean(city) or full, True, False)):
+                if len(form) >= 3:
+                    row = rows.setdefault((form, unit), [guarded, full, False, True])
+                    row[2], row[3] = row[2] or fuzzy, row[3] and weak
+        yield pa.record_batch([pa.array([k[0] for k in rows], pa.string()), pa.array([k[1] for k in rows], pa.int64()), *(pa.array([r[i] for r in rows.values()], t) for i, t in enumerate((pa.string(), pa.string(), pa.bool_(), pa.bool_())))], names=["form", "unit", "guarded", "full", "fuzzy", "weak"])
+
+
+def _form_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [sorted(block_keys(f, z)) for f, z in zip(batch.column("form").to_pylist(), batch.column("fuzzy").to_pylist(), strict=True)]
+        take = pa.array([i for i, k in enumerate(keys) for _ in k], pa.int64())
+        yield pa.record_batch([pa.array([x for k in keys for x in k], pa.string()), *(batch.column(c).take(take) for c in ("form", "fuzzy", "units"))], names=["key", "form", "fuzzy", "units"])
 
 
 def _cores(text: str, provinces: frozenset[str]) -> Iterator[tuple[str, str]]:
@@ -260,80 +226,123 @@ def _is_department(text: str) -> bool:
     return not text or bool(DEPARTMENT.fullmatch(text))
 
 
-def resolve(register: Register, value: str) -> int | None:
-    """The unit a text means, or None: it names none, or more than one equally well."""
+def readings(value: str, provinces: frozenset[str]) -> set[tuple[str, int, bool]]:
+    """(part, characters left to a department, whether slips are looked for): what of a text may be a unit's name."""
     text = clean(value)
+    out: set[tuple[str, int, bool]] = set()
     if text in DUMMY:
-        return None
-    readings = list(_cores(text, register.provinces))
-    best: tuple[float, ...] | None = None  # (slips, characters left to a department, how unlike the full name)
-    found: set[int] = set()
-
-    def offer(rank: tuple[float, ...], units: set[int]) -> None:
-        nonlocal best, found
-        if best is None or rank < best:
-            best, found = rank, set(units)
-        elif rank == best:
-            found |= units
-
-    for core, rest in readings:
+        return out
+    for core, rest in _cores(text, provinces):
         if not _is_department(rest):
             continue
-        if core in register.at:
-            offer((0, len(rest)), register.units[register.at[core]])
-        for size in range(min(len(core) - 2, register.longest), 2, -1):  # a department that follows without a sign
-            if core[:size] in register.at and _is_department(core[size:]):
-                offer((0, len(rest) + len(core) - size), register.units[register.at[core[:size]]])
-                break
-    if len(found) == 1:
-        return found.pop()
-    best, found = None, set()  # what fits several exactly may fit one of them better as a slip
-    for core, rest in readings:
-        if not _is_department(rest) or len(core) < 4:
-            continue
-        cuts = [len(core)] + ([] if rest else [s for s in range(4, len(core) - 1) if _is_department(core[s:])])
-        for size in cuts:
-            part = core[:size]
-            for i in register.candidates(part):
-                form = register.forms[i]
-                most = _allowed(len(form))
-                if abs(len(form) - size) > most or lcs_ratio(form, part) < RATIO:
-                    continue
-                if (count := slips(form, register.guarded[i], part, most)) <= most:
-                    for unit in register.units[i]:
-                        offer((count, len(rest) + len(core) - size, -lcs_ratio(register.full[unit], part)), {unit})
-    return found.pop() if len(found) == 1 else None
-
-
-def _links(register: Register, seen: dict[str, str]):
+        if len(core) >= 3:
+            out.add((core, len(rest), len(core) >= 4))
+        for size in range(3, len(core) - 1):  # a department that follows without a sign
+            if _is_department(core[size:]):
+                out.add((core[:size], len(rest) + len(core) - size, not rest and size >= 4))
+    return out
+
+
+def _plain(seen: dict[str, str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    give(seen)
+    for batch in batches:
+        yield pa.record_batch([batch.column("value"), pa.array([plain_form(v) for v in batch.column("value").to_pylist()], pa.string())], names=["value", "plain"])
+
+
+def _part_keys(seen: dict[str, str], provinces: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give(seen)
         for batch in batches:
-            values = batch.column("value").to_pylist()
-            units = [resolve(register, v) for v in values]
-            keep = [i for i, (u, v) in enumerate(zip(units, values, strict=True)) if u is not None and plain_form(v) not in register.names]
-            yield pa.record_batch([batch.column("value").take(pa.array(keep, pa.int64())), pa.array([units[i] for i in keep], pa.int64())], names=["value", "unit_id"])
+            rows = [(v, *r, k) for v in batch.column("value").to_pylist() for r in sorted(readings(v, provinces)) for k in sorted(block_keys(r[0], r[2]))]
+            types = (pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.string())
+            yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["value", "part", "left", "slips", "key"])
 
     return run
 
 
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(value, slips, left, unlike, unit) of the pairs that may be the same name, and whether they are so to the letter."""
+    for batch in batches:
+        rows = []
+        for value, part, left, loose, form, fuzzy, units in zip(*(batch.column(c).to_pylist() for c in ("value", "part", "left", "slips", "form", "fuzzy", "units")), strict=True):
+            if part == form:
+                rows += [(value, True, 0, left, 0.0, u["unit"]) for u in units]
+            if not (loose and fuzzy) or lcs_ratio(form, part) < RATIO:
+                continue
+            most = _allowed(len(form))
+            for u in units:
+                if (count := slips(form, frozenset(u["guarded"]), part, most)) <= most:
+                    rows.append((value, False, count, left, -lcs_ratio(u["full"], part), u["unit"]))
+        types = (pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.float64(), pa.int64())
+        yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["value", "exact", "count", "left", "unlike", "unit"])
+
+
+def _met(parts: DataFrame, forms: DataFrame) -> DataFrame:
+    """Pairs with a key in common that are equal, or near enough for slips: by length, then by edits, of which a swap is two."""
+    most = F.when(F.length("form") < 4, 0).when(F.length("form") < 8, 1).when(F.length("form") < 13, 2).otherwise(3)
+    near = (F.abs(F.length("form") - F.length("part")) <= most) & F.levenshtein("part", "form", 6).between(0, 2 * most)
+    return parts.join(forms, "key").where((F.col("part") == F.col("form")) | F.col("slips") & F.col("fuzzy") & near).drop("key").distinct()
+
+
 def named_units(values: DataFrame, register: DataFrame) -> DataFrame:
     """(field_name, record_id, unit_id) of records that name a registered unit, or a department of one, in another spelling.
 
     values: field_name, record_id, value. register: unit_id, unit_name, city, province. Every different spelling is resolved once,
     so a hot unit costs no more than others. A value whose plain form is a registered name is no case; nor are null and
-    dummy values, names that are not registered, and spellings that fit several units equally well. Without a register
-    nothing is found.
+    dummy values, names that are not registered, and spellings that fit several units equally well. Of two rows with one
+    unit_id both names count. Without a register nothing is found.
     """
-    spark = values.sparkSession
-    rows = sorted((r.unit_id, r.unit_name, r.city, r.province) for r in register.select("unit_id", "unit_name", F.coalesce("city", F.lit("")).alias("city"), F.coalesce("province", F.lit("")).alias("province")).dropna().distinct().toLocalIterator())
-    spelled = spread(values.select("value").dropna().distinct())
-    links: DataFrame | None = None
     seen = prototypes()
-    for a in range(0, max(1, len(rows)), REGISTER_PART):
-        shared = spark.sparkContext.broadcast(build_register(rows[a : a + REGISTER_PART]))
-        part = spelled.mapInArrow(lambda it, b=shared: _links(b.value, seen)(it), "value string, unit_id long")
-        links = part if links is None else links.unionByName(part)
-    if len(rows) > REGISTER_PART:
-        links = links.groupBy("value").agg(F.min("unit_id").alias("unit_id"), F.count("*").alias("n")).where("n = 1").drop("n")
+    units = register.select(F.col("unit_id").cast("long").alias("unit_id"), "unit_name", F.coalesce("city", F.lit("")).alias("city"), F.coalesce("province", F.lit("")).alias("province")).dropna().distinct()
+    provinces = frozenset(r.province for r in units.select("province").distinct().limit(PROVINCES + 1).collect() if r.province)
+    if len(provinces) > PROVINCES:
+        raise ValueError(f"a register of more than {PROVINCES} provinces")
+    listed = spread(units).mapInArrow(lambda it: _forms(seen, it), "form string, unit long, guarded string, full string, fuzzy boolean, weak boolean")
+    forms = listed.groupBy("form").agg(F.max("fuzzy").alias("fuzzy"), F.min("weak").alias("none"), F.collect_set(F.struct("unit", "guarded", "full", "weak")).alias("units"))
+    forms = forms.select("form", "fuzzy", F.transform(F.filter("units", lambda u: F.col("none") | ~u["weak"]), lambda u: F.struct(u["unit"].alias("unit"), u["guarded"].alias("guarded"), u["full"].alias("full"))).alias("units"))
+    keyed = forms.mapInArrow(_form_keys, "key string, form string, fuzzy boolean, units array<struct<unit:long,guarded:string,full:string>>")
+    refined = F.col("key").contains("|")
+    common = keyed.where(~refined).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > COMMON).select("key")
+    keyed = keyed.join(common, "key", "left_anti")
+    spelled = values.select("value").dropna().distinct()
+    typed = spread(spelled).mapInArrow(lambda it: _plain(seen, it), "value string, plain string").join(units.select(F.col("unit_name").alias("plain")).distinct(), "plain", "left_anti")
+    parts = typed.select("value").mapInArrow(_part_keys(seen, provinces), "value string, part string, left int, slips boolean, key string")
+    met = _met(parts, keyed).mapInArrow(_compared, "value string, exact boolean, count int, left int, unlike double, unit long")
+    first, last = (F.min(F.struct("count", "left", "unlike", (F.col("unit") * sign).alias("unit"))) for sign in (1, -1))
+    best = met.groupBy("value", "exact").agg(first.alias("a"), last.alias("b")).where(F.col("a.unit") == -F.col("b.unit"))
+    # what fits several to the letter may fit one of them better as a slip
+    links = best.groupBy("value").agg(F.max_by("a.unit", "exact").alias("unit_id"))
     return values.select("field_name", "record_id", "value").dropna().join(links, "value").select("field_name", "record_id", "unit_id").distinct()
+
+
+def _whole(seen: dict[str, str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    give(seen)
+    for batch in batches:
+        rows = [(v, c, k) for v in batch.column("value").to_pylist() if len(c := clean(v).replace(" ", "")) >= 4 for k in sorted(block_keys(c)) if "|" in k]
+        yield pa.record_batch([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["value", "text", "key"])
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ratio = [lcs_ratio(a, b) if slips(a, frozenset(a[:2]), b, _allowed(len(a))) <= _allowed(len(a)) else 0.0 for a, b in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)]
+        yield pa.record_batch([batch.column("ta"), batch.column("tb"), pa.array(ratio, pa.float64())], names=["ta", "tb", "ratio"])
+
+
+def variant_pairs(values: DataFrame, least: float = 0.8) -> DataFrame:
+    """(a, b, ratio), a < b: different spellings, registered or not, that differ only by slips, by suffix blocks of the spellings.
+
+    Spellings are compared in clean form, of which each enters once; those of one clean form are paired with its smallest
+    only, so that their group follows without all pairs. Null, dummy and very short ones (under 4 characters) have none.
+    """
+    seen = prototypes()
+    keyed = spread(values.select("value").dropna().distinct()).mapInArrow(lambda it: _whole(seen, it), "value string, text string, key string")
+    low = keyed.groupBy("text").agg(F.min("value").alias("low"))
+    texts = keyed.select("text", "key").distinct()
+    left, right = texts.select(F.col("text").alias("ta"), "key"), texts.select(F.col("text").alias("tb"), "key")
+    most = F.when(F.length("ta") < 8, 1).when(F.length("ta") < 13, 2).otherwise(3)
+    near = (F.abs(F.length("ta") - F.length("tb")) <= most) & F.levenshtein("ta", "tb", 6).between(0, 2 * most)
+    pairs = left.join(right, "key").where((F.col("ta") < F.col("tb")) & near).select("ta", "tb").distinct().mapInArrow(_alike, "ta string, tb string, ratio double").where(F.col("ratio") >= least)
+    found = pairs.join(low.select(F.col("text").alias("ta"), F.col("low").alias("x")), "ta").join(low.select(F.col("text").alias("tb"), F.col("low").alias("y")), "tb").select("x", "y", "ratio")
+    same = keyed.select("value", "text").distinct().join(low, "text").where("value <> low").select(F.col("low").alias("x"), F.col("value").alias("y"), F.lit(1.0).alias("ratio"))
+    both = found.unionByName(same)
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "ratio")

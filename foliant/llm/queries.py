@@ -10,7 +10,7 @@ from foliant.llm.confusables import not_plain, values_of
 from foliant.llm.increment import repeated_texts
 from foliant.llm.leakage import leaked_items, leaked_spans
 from foliant.llm.mixing import mixture
-from foliant.llm.names import named_units
+from foliant.llm.names import named_units, variant_pairs
 from foliant.llm.neighbours import similar_vectors
 from foliant.llm.pieces import split_texts
 from foliant.llm.residue import grouped_values, residue_records
@@ -55,6 +55,12 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return named_units(values, _table(spark, folder, "work_unit"))
 
 
+def p5_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Every spelling that is a variant of another, registered or not, with its group."""
+    values = values_of({"gzdw": (_table(spark, folder, "expert_info"), "id"), "cddw_mc": (_table(spark, folder, "project_info"), "id")})
+    return connected_groups(variant_pairs(values)).select(F.col("node").alias("spelling"), F.col("group_id").alias("group_spelling"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_texts(_table(spark, folder, "documents")).select("dup_of", "doc_id")
 
@@ -91,6 +97,7 @@ QUERIES = {
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p5_found": p5_found,
+    "p5_variants": p5_variants,
     "p6_found": p6_found,
     "p7_found": p7_found,
     "p8_found": p8_found,

@@ -205,6 +205,23 @@ def test_names(spark):
     assert names.named_units(values, register.limit(0)).count() == 0 and names.named_units(values.limit(0), register).count() == 0
 
 
+def test_register_of_many_parts(spark):
+    """The best unit is sought over the whole register, however it is spread."""
+    values = spark.createDataFrame([("gzdw", "a", "沄州科技太学"), ("gzdw", "b", "沄州科技大学"), ("gzdw", "c", "沄州市环境科学所")], "field_name string, record_id string, value string")
+    many = spark.createDataFrame([(*u, "x") for u in [*UNITS, (7, "沄州科技太学", "沄州", "西珩省")]], "unit_id int, unit_name string, city string, province string, value string")
+    got = [{(r.record_id, r.unit_id) for r in names.named_units(values, many.repartition(n)).collect()} for n in (1, 7)]
+    assert got[0] == got[1] == {("c", 2)}
+
+
+def test_variants_that_are_not_registered(spark):
+    rows = ["鸾泽机械制造厂", "鸾泽机械制告厂", "鸾泽机械制造厂 ", "鸾澤機械制造厂", "黎川机械制造厂", "无", None, "", "短名"]
+    frame = spark.createDataFrame([("gzdw", str(i), v) for i, v in enumerate(rows)], "field_name string, record_id string, value string")
+    pairs = [(r.a, r.b) for r in names.variant_pairs(frame).collect()]
+    linked = {x for p in pairs for x in p}
+    assert {"鸾泽机械制造厂", "鸾泽机械制告厂", "鸾泽机械制造厂 "} <= linked and "黎川机械制造厂" not in linked and all(a < b for a, b in pairs)
+    assert names.variant_pairs(frame.limit(0)).count() == 0
+
+
 def test_slips_and_ratio():
     assert names.lcs_ratio("abcde", "abxde") == 0.8 and names.lcs_ratio("", "a") == 0
     assert names.slips("沄州科技大学", frozenset("沄州"), "沄州科技太学", 2) == 1
