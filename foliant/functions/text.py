@@ -150,3 +150,132 @@ def cosine(a: Column, b: Column) -> Column:
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
     return F.coalesce(F.try_divide(dot, norm(a) * norm(b)), F.lit(0.0))
+
+
+#: What people type where they have nothing to say.
+DUMMY = ("", "无", "暂无", "待定", "-", "—", "——", "/", "n/a", "null", "none")
+#: A number of a heading or list item, in front of what it numbers.
+NUMBERING = r"^[（(]?[一二三四五六七八九十\d]+[）)、.．]\s*"
+
+
+def effective(text: Column) -> Column:
+    """The trimmed text, empty where it is null or only stands for nothing."""
+    plain = strip(F.coalesce(text, F.lit("")))
+    return F.when(F.lower(plain).isin(*DUMMY), "").otherwise(plain)
+
+
+def canonical(label: Column, aliases: dict[str, str]) -> Column:
+    """A label without its number and white space; of several spellings of one thing the first form."""
+    plain = F.regexp_replace(F.regexp_replace(strip(label), NUMBERING, ""), SPACE + "+", "")
+    known = F.create_map(*(F.lit(x) for pair in aliases.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, plain), plain)
+
+
+def weighted_text(parts: Sequence[tuple[Column, int]]) -> Column:
+    """Parts joined by spaces, each as often as it weighs; empty ones leave no trace."""
+    return F.concat_ws(" ", F.filter(F.flatten(F.array(*(F.array_repeat(effective(c), n) for c, n in parts))), lambda x: x != ""))
+
+
+def repaired(text: Column) -> Column:
+    """Words broken at line ends joined again, blank lines reduced to one, spaces before a line end dropped."""
+    out = F.regexp_replace(text, r"([A-Za-z])-\r?\n([a-z])", "$1$2")
+    return F.regexp_replace(F.regexp_replace(out, r"[ \t]+(\r?\n)", "$1"), r"(\r?\n){3,}", "\n\n")
+
+
+def valid_mail(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$"), F.lit(False))
+
+
+def valid_phone(text: Column) -> Column:
+    """A mobile number, or a landline with its area code."""
+    return F.coalesce(text.rlike(r"^(1[3-9]\d{9}|0\d{2,3}-?\d{7,8})$"), F.lit(False))
+
+
+def valid_identity(text: Column) -> Column:
+    """An 18-digit identity number with the right check character."""
+    weights = F.array(*(F.lit(2 ** (17 - i) % 11) for i in range(17)))
+    digits = F.transform(F.sequence(F.lit(1), F.lit(17)), lambda i: F.substr(text, i, F.lit(1)).try_cast("int"))
+    total = F.aggregate(F.zip_with(digits, weights, lambda d, w: d * w), F.lit(0), lambda a, x: a + x)
+    check = F.substr(F.lit("10X98765432"), (total % 11) + 1, F.lit(1))
+    return F.coalesce(F.when(text.rlike(r"^\d{17}[\dXx]$"), check == F.upper(F.substring(text, 18, 1))), F.lit(False))
+
+
+def key_phrases(text: Column, least: int = 6, most: int = 6) -> Column:
+    """The first trimmed parts between stops that are long enough."""
+    return F.slice(F.filter(F.transform(F.split(text, r"[；;。\r\n]"), strip), lambda x: F.length(x) >= least), 1, most)
+
+
+def coverage(phrases: Column, text: Column) -> Column:
+    """Share of phrases that a text contains; 0 without phrases."""
+    return F.coalesce(F.try_divide(F.size(F.filter(phrases, lambda x: F.contains(text, x))).cast("double"), F.size(phrases)), F.lit(0.0))
+
+
+def unit_words(name: Column) -> Column:
+    """The parts of a unit's name between brackets, signs and legal forms, of at least two characters."""
+    parts = F.split(name, r"[()（）\s,，、\-]|股份有限公司|有限责任公司|有限公司|集团")
+    return F.array_distinct(F.filter(parts, lambda x: F.length(x) >= 2))
+
+
+def passage_tokens(text: Column, most: int = 120) -> Column:
+    """Distinct words between separators and bigrams of ideographs, words first, the first ``most``."""
+    words = F.filter(F.split(F.lower(text), r"[\s　，。；：、！？,.;:!?()（）\[\]【】|/]+"), lambda x: x != "")
+    pairs = F.regexp_extract_all(text, F.lit(r"(?=([一-鿿]{2}))"), F.lit(1))
+    return F.slice(F.array_distinct(F.concat(words, pairs)), 1, most)
+
+
+def question_terms(text: Column) -> Column:
+    """Years, and runs of ideographs with their parts of four, three and two, longest first."""
+    years = F.regexp_extract_all(text, F.lit(r"((?:19|20)\d{2})"), F.lit(1))
+    runs = F.regexp_extract_all(text, F.lit(r"([一-鿿]{2,})"), F.lit(1))
+    slices = [F.regexp_extract_all(text, F.lit(rf"(?=([一-鿿]{{{n}}}))"), F.lit(1)) for n in (4, 3, 2)]
+    return F.array_distinct(F.concat(years, runs, *slices))
+
+
+def topic_key(label: Column) -> Column:
+    """A label as a key: without what follows a colon or bracket, white space and signs, in lower case."""
+    return F.lower(F.regexp_replace(F.regexp_replace(label, r"[:：(（].*$", ""), r"[\s　_\-·]+", ""))
+
+
+def simple_title(title: Column) -> Column:
+    """A title for comparison: letters, ideographs and digits in lower case, without common openings and closings."""
+    plain = F.lower(F.regexp_replace(title, r"[^\p{L}\p{N}]", ""))
+    return F.regexp_replace(F.regexp_replace(plain, r"^(关于|基于|面向)", ""), r"(的研究|研究|的应用|应用)$", "")
+
+
+def period_months(text: Column) -> Column:
+    """Months of a period of execution: from one year and month to another, both included, else a stated number of years or months."""
+    span = r"((?:19|20)\d{2})[年.\-/](\d{1,2})月?\s*(?:至|到|~|—|-|－)+\s*((?:19|20)\d{2})[年.\-/](\d{1,2})"
+    part = lambda i: F.regexp_extract(text, span, i).try_cast("int")
+    between = month_ordinal(part(3), part(4)) - month_ordinal(part(1), part(2)) + 1
+    years = F.regexp_extract(text, r"(\d{1,2})\s*(?:年期|个?年(?:内|度)?完成)", 1).try_cast("int") * 12
+    months = F.regexp_extract(text, r"(\d{1,3})\s*个月", 1).try_cast("int")
+    return F.coalesce(between, years, months)
+
+
+def milestones(text: Column) -> Column:
+    """The year and month of every date in a text, as yyyy-mm, distinct and in order."""
+    found = F.regexp_extract_all(text, F.lit(r"((?:19|20)\d{2}年\d{1,2}月)"), F.lit(1))
+    return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.concat(F.substring(x, 1, 4), F.lit("-"), F.lpad(F.regexp_extract(x, r"年(\d{1,2})月", 1), 2, "0")))))
+
+
+def years_between(begin: Column, finish: Column) -> Column:
+    """Whole months between two dates, over 12."""
+    return F.floor(F.months_between(finish, begin)) / 12.0
+
+
+def tens(score: Column) -> Column:
+    return (F.floor(score / 10) * 10).cast("int")
+
+
+def row_fields(cells: Column) -> Column:
+    """Cells of a table row as a map of keys and the values beside them; of a repeated key the first value counts."""
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size(cells) / 2).cast("int") - 1, F.lit(0))), lambda i: F.struct(F.try_element_at(cells, 2 * i + 1).alias("key"), F.try_element_at(cells, 2 * i + 2).alias("value")))
+    valid = F.filter(pairs, lambda p: (F.coalesce(p["key"], F.lit("")) != "") & p["value"].isNotNull())
+    keys = F.array_distinct(F.transform(valid, lambda p: p["key"]))
+    return F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(valid, lambda p: p["key"] == k), 1)["value"].alias("value"))))
+
+
+def fenced_object(text: Column) -> Column:
+    """The first object of an answer that may stand in a code fence; empty if there is none."""
+    inside = F.regexp_replace(text, r"```[A-Za-z]*", "")
+    return F.regexp_extract(inside, r"(?s)(\{.*\})", 1)

@@ -51,10 +51,16 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, every: i
         return nodes.withColumn("score", F.lit(0.0))
     shares = stash.keep(arrows.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "shares")
     ranks = nodes.withColumn("score", F.lit(1.0 / count))
+    ends = nodes.join(out, nodes["node"] == out["src"], "left_anti")
+    dangling = stash.keep(ends, "dangling") if ends.take(1) else None
     for number in range(rounds):
         given = ranks.join(shares, ranks["node"] == shares["src"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
-        lost = ranks.join(out, ranks["node"] == out["src"], "left_anti").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
-        ranks = nodes.join(given, "node", "left").crossJoin(F.broadcast(lost)).select("node", ((1 - damping) / count + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / count)).alias("score"))
+        every_node = nodes.join(given, "node", "left")
+        if dangling is None:
+            every_node = every_node.withColumn("lost", F.lit(0.0))
+        else:
+            every_node = every_node.crossJoin(F.broadcast(ranks.join(dangling, "node").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))))
+        ranks = every_node.select("node", ((1 - damping) / count + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / count)).alias("score"))
         if (number + 1) % every == 0:
             ranks = stash.keep(ranks, "ranks")
     return ranks
@@ -88,12 +94,23 @@ def label_propagation(edges: DataFrame, rounds: int = 5, stash: Stash | None = N
     return labels
 
 
-def community_summary(labels: DataFrame, names: int = 8) -> DataFrame:
-    """(label, size, members, rank, top): size, the first member ids, and rank by size of each community."""
+def community_summary(labels: DataFrame, names: int = 8, stash: Stash | None = None) -> DataFrame:
+    """(label, size, members, rank): size, the first member ids, and rank by size of each community."""
     order = Window.partitionBy("label").orderBy("node")
     ranked = labels.withColumn("_r", F.row_number().over(order))
-    out = ranked.groupBy("label").agg(F.count("*").alias("size"), F.concat_ws(",", F.array_sort(F.collect_list(F.when(F.col("_r") <= names, F.col("node"))))).alias("members"))
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size"), "label")))
+    members = F.transform(F.array_sort(F.collect_list(F.when(F.col("_r") <= names, F.col("node")))), lambda n: n.cast("string"))
+    out = ranked.groupBy("label").agg(F.count("*").alias("size"), F.concat_ws(",", members).alias("members"))
+    return numbered(out, [F.desc("size"), F.col("label")], "rank", stash)
+
+
+def numbered(rows: DataFrame, order: Sequence, name: str, stash: Stash | None = None) -> DataFrame:
+    """Rows numbered from 1 in a total order: ranges of it are counted, then numbered each in a task of its own."""
+    stash = stash or Stash(rows.sparkSession)
+    ranged = stash.keep(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranged.withColumn("_w", within).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_w")).drop("_part", "_w", "_before")
 
 
 def migration_links(before: DataFrame, after: DataFrame, levels: Sequence[float] = (0.05, 0.005, 0.0)) -> DataFrame:

@@ -101,31 +101,17 @@ def images_equal(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def images_near(spark: SparkSession, folder: str) -> DataFrame:
-    return images.hamming_join(_images(spark, folder), _asked_images(spark, folder), 10)
+    return images.hamming_join(_images(spark, folder), _asked_images(spark, folder), DECISION_RADIUS)
 
 
-#: Differing bits up to which the decision lets a pair count (images.decide); the queries with SQL look up to 10.
+#: Differing bits up to which the decision lets a pair count (images.decide).
 DECISION_RADIUS = 18
 
 
-def images_near_whole(spark: SparkSession, folder: str) -> DataFrame:
-    """Near images up to the radius of the decision (no SQL; tested against a plain version)."""
-    return images.hamming_join(_images(spark, folder), _asked_images(spark, folder), DECISION_RADIUS)
-
-
 def image_levels(spark: SparkSession, folder: str) -> DataFrame:
     """Near images of the queries by level of the decision."""
-    return _image_levels(spark, folder, 10)
-
-
-def image_levels_whole(spark: SparkSession, folder: str) -> DataFrame:
-    """The same up to the radius of the decision (no SQL; tested against a plain version)."""
-    return _image_levels(spark, folder, DECISION_RADIUS)
-
-
-def _image_levels(spark: SparkSession, folder: str, radius: int) -> DataFrame:
     all_images, asked = _images(spark, folder), _asked_images(spark, folder)
-    near = images.hamming_join(all_images, asked, radius)
+    near = images.hamming_join(all_images, asked, DECISION_RADIUS)
     a = all_images.select(F.col("image_id").alias("query_id"), F.col("doc_id").alias("qd"), F.col("sha256_norm").alias("qs"))
     b = all_images.select("image_id", "doc_id", "sha256_norm")
     pairs = near.join(a, "query_id").join(b, "image_id")
@@ -134,7 +120,7 @@ def _image_levels(spark: SparkSession, folder: str, radius: int) -> DataFrame:
 
 
 def not_indexed(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id").join(table(spark, folder, "docs").select(F.col("text_id").alias("doc_id")), "doc_id", "left_anti")
+    return images.pruned(table(spark, folder, "documents").select("doc_id"), table(spark, folder, "docs").select(F.col("text_id").alias("doc_id")))
 
 
 def latest_index(spark: SparkSession, folder: str) -> DataFrame:
@@ -156,7 +142,8 @@ def supplier_hops(spark: SparkSession, folder: str) -> DataFrame:
     return graph.neighbourhood(strong, spark.createDataFrame([(1,)], "node long"), 2).withColumn("hop", F.col("hop").cast("long"))
 
 
-RANK_ROUNDS, LABEL_ROUNDS = 4, 3
+#: Rounds of PageRank, and a bound for labels, which settle or swing between two states before.
+RANK_ROUNDS, LABEL_ROUNDS = 20, 100
 
 
 def supplier_rank(spark: SparkSession, folder: str) -> DataFrame:
@@ -165,33 +152,11 @@ def supplier_rank(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def part_communities(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.label_propagation(_supplier_graph(spark, folder), LABEL_ROUNDS)
+    return graph.label_propagation(_supplier_graph(spark, folder), LABEL_ROUNDS, settle=True)
 
 
 def community_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    labels = graph.label_propagation(_supplier_graph(spark, folder), 1)
-    return graph.community_summary(labels).select("label", "size", F.col("rank").cast("long").alias("rank"))
-
-
-#: The reference's rounds of PageRank, and a bound for labels, which mostly settle long before. The queries with SQL run
-#: as few rounds as the SQL has unrolled.
-WHOLE_RANK_ROUNDS, WHOLE_LABEL_ROUNDS = 20, 100
-
-
-def supplier_rank_whole(spark: SparkSession, folder: str) -> DataFrame:
-    """PageRank with the reference's rounds (no SQL; tested against a plain version)."""
-    ranks = graph.pagerank(graph.both_ways(_supplier_graph(spark, folder)), WHOLE_RANK_ROUNDS)
-    return ranks.select("node", F.round("score", 8).alias("score"))
-
-
-def part_communities_whole(spark: SparkSession, folder: str) -> DataFrame:
-    """Labels until they settle (no SQL; tested against a plain version)."""
-    return graph.label_propagation(_supplier_graph(spark, folder), WHOLE_LABEL_ROUNDS, settle=True)
-
-
-def community_sizes_whole(spark: SparkSession, folder: str) -> DataFrame:
-    """Sizes of the settled communities (no SQL; tested against a plain version)."""
-    return graph.community_summary(part_communities_whole(spark, folder)).select("label", "size", F.col("rank").cast("long").alias("rank"))
+    return graph.community_summary(part_communities(spark, folder)).select("label", "size", "members", F.col("rank").cast("long").alias("rank"))
 
 
 def topic_migration(spark: SparkSession, folder: str) -> DataFrame:
@@ -297,7 +262,7 @@ def event_sessions(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     segment_union, source_ranking, uncovered_paraphrases, cosine_top, similarity_graph, label_centres, kmeans_groups, source_balance, dominant_languages, risk_counts,
-    images_equal, images_near, images_near_whole, image_levels, image_levels_whole, not_indexed, latest_index, supplier_pairs, supplier_hops, supplier_rank, supplier_rank_whole, part_communities, part_communities_whole, community_sizes, community_sizes_whole, topic_migration,
+    images_equal, images_near, image_levels, not_indexed, latest_index, supplier_pairs, supplier_hops, supplier_rank, part_communities, community_sizes, topic_migration,
     topic_panel, topic_baseline, topic_spans, topic_findings, shock_effects, budget_diff, largest_lines, total_conflicts, project_latest,
     subject_counts, expert_matches, expert_hits, event_windows, event_sessions,
 )}
@@ -307,7 +272,7 @@ _COVER = "sum(CASE WHEN b IS NULL OR s > b THEN e - s ELSE greatest(0, e - b) EN
 _UNIT = "u AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
 _TOP = f"{_UNIT}, t AS (SELECT q.vec_id AS query_id, u.vec_id, round(list_cosine_similarity(q.v, u.v), 6) AS cosine FROM u q JOIN u ON q.vec_id % 100 = 0 AND q.vec_id <> u.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id)::INT AS rank FROM t)"
 _IMG = "i AS (SELECT DISTINCT image_id, doc_id, sha256_norm, lower(phash_hex) AS h FROM image_features), v AS (SELECT *, ('0x' || h[1:8])::BIGINT AS hi, ('0x' || h[9:16])::BIGINT AS lo FROM i WHERE regexp_matches(h, '^[0-9a-f]{16}$'))"
-_NEAR = f"{_IMG}, n AS (SELECT DISTINCT a.image_id AS query_id, b.image_id, (bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)))::INT AS distance FROM v a JOIN v b ON right(a.image_id, 2) = '00' AND a.image_id <> b.image_id WHERE bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 10)"
+_NEAR = f"{_IMG}, n AS (SELECT DISTINCT a.image_id AS query_id, b.image_id, (bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)))::INT AS distance FROM v a JOIN v b ON right(a.image_id, 2) = '00' AND a.image_id <> b.image_id WHERE bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 18)"
 _EDGES = "mem AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), edges AS (SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS weight FROM mem a JOIN mem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY ALL), arrows AS MATERIALIZED (SELECT a AS src, b AS dst, weight FROM edges UNION ALL SELECT b, a, weight FROM edges)"
 
 
@@ -355,7 +320,7 @@ ORACLES = {
     "supplier_hops": f"WITH {_EDGES}, s AS (SELECT src, dst FROM arrows WHERE weight >= 12), h1 AS (SELECT DISTINCT dst AS node FROM s WHERE src = 1), h2 AS (SELECT DISTINCT s.dst AS node FROM s JOIN h1 ON s.src = h1.node) SELECT node, min(hop)::BIGINT AS hop FROM (SELECT 1 AS node, 0 AS hop UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2) GROUP BY node",
     "supplier_rank": _rank_sql(),
     "part_communities": _labels_sql(LABEL_ROUNDS) + f" SELECT node, label FROM l{LABEL_ROUNDS}",
-    "community_sizes": _labels_sql(1) + " SELECT label, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, label) AS rank FROM l1 GROUP BY label",
+    "community_sizes": _labels_sql(LABEL_ROUNDS) + f" SELECT label, count(*) AS size, array_to_string(list(node ORDER BY node)[1:8], ',') AS members, row_number() OVER (ORDER BY count(*) DESC, label) AS rank FROM l{LABEL_ROUNDS} GROUP BY label",
     "topic_migration": r"""WITH w AS (SELECT DISTINCT ssxk1[1:3] AS community, regexp_replace(unnest(string_split_regex(gjc, '[;；,，、]')), '^[\s\x{00A0}\x{3000}]+|[\s\x{00A0}\x{3000}]+$', '', 'g') AS keyword, TRY_CAST(nullif(regexp_extract(translate(year, '０１２３４５６７８９', '0123456789'), '((19|20)\d{2})', 1), '') AS INT) AS y FROM (SELECT DISTINCT id, ssxk1, gjc, year FROM project_info WHERE ssxk1 IS NOT NULL)),
         b AS (SELECT DISTINCT community, keyword FROM w WHERE keyword <> '' AND y <= 2021), a AS (SELECT DISTINCT community, keyword FROM w WHERE keyword <> '' AND y > 2021),
         s AS (SELECT b.community AS source, a.community AS target, count(*) AS shared FROM b JOIN a USING (keyword) GROUP BY ALL),

@@ -34,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.conf.get("foliant.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="foliant-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         found = "file://" + folder

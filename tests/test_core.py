@@ -193,8 +193,8 @@ def test_iterations_are_whole(spark, monkeypatch):
     monkeypatch.setattr(data_plans, "_supplier_graph", lambda *_: graph.cooccurrence(members, "l_orderkey", "l_suppkey"))
     edges = [tuple(r) for r in data_plans._supplier_graph().collect()]
     labels = plain_labels(edges, data_plans.WHOLE_LABEL_ROUNDS)
-    assert {r.node: r.label for r in data_plans.part_communities_whole(spark, "").collect()} == labels
-    assert {r.label: r["size"] for r in data_plans.community_sizes_whole(spark, "").collect()} == {x: list(labels.values()).count(x) for x in labels.values()}
+    assert {r.node: r.label for r in data_plans.part_communities(spark, "").collect()} == labels
+    assert {r.label: r["size"] for r in data_plans.community_sizes(spark, "").collect()} == {x: list(labels.values()).count(x) for x in labels.values()}
     weight = {}
     for a, b, w in edges:
         weight[a, b] = weight[b, a] = w
@@ -202,7 +202,7 @@ def test_iterations_are_whole(spark, monkeypatch):
     score = dict.fromkeys(total, 1 / len(total))
     for _ in range(20):
         score = {v: 0.15 / len(total) + 0.85 * sum(score[a] * w / total[a] for (a, b), w in weight.items() if b == v) for v in total}
-    assert {r.node: r.score for r in data_plans.supplier_rank_whole(spark, "").collect()} == pytest.approx(score, abs=2e-8)
+    assert {r.node: r.score for r in data_plans.supplier_rank(spark, "").collect()} == pytest.approx(score, abs=2e-8)
 
     kept = []
     real = grouping.spherical_kmeans
@@ -244,8 +244,8 @@ def test_image_queries_of_the_whole_decision(spark):
                 near.add((a, b, n))
                 score = 0.0 if da and da == db else 1.0 if sa and sa == sb else 0.6 * (1 - n / 64)
                 levels.add((a, b, n, round(score, 6), "high" if score >= 0.9 else "medium" if score >= 0.72 else "low" if score > 0 else "none"))
-    assert {tuple(r) for r in data_plans.images_near_whole(spark, folder).collect()} == near
-    got = {tuple(r) for r in data_plans.image_levels_whole(spark, folder).collect()}
+    assert {tuple(r) for r in data_plans.images_near(spark, folder).collect()} == near
+    got = {tuple(r) for r in data_plans.image_levels(spark, folder).collect()}
     assert {r[:3] for r in got} == near and got == levels and max(n for _, _, n in near) > 10
 
 
