@@ -124,3 +124,89 @@ def migration_links(before: DataFrame, after: DataFrame, levels: Sequence[float]
     ladder = F.array(*(F.lit(float(x)) for x in levels))
     top = scored.agg(F.max("jaccard").alias("top")).select(F.coalesce(F.try_element_at(F.filter(ladder, lambda x: F.col("top") >= x), F.lit(1)), F.lit(0.0)).alias("level"))
     return scored.crossJoin(F.broadcast(top)).where(F.col("jaccard") >= F.col("level")).select("source", "target", "shared", "jaccard")
+
+
+#: Edges that one task takes for communities by modularity.
+MODULARITY_EDGES = 150_000
+RESOLUTIONS = (0.4, 0.6, 0.8, 1.0, 1.2, 1.5, 2.0, 3.0)
+
+
+def louvain(edges: DataFrame, resolution: float = 1.0, limit: int = MODULARITY_EDGES) -> DataFrame:
+    """(node, community) by modularity: nodes move, in order, to the neighbouring community with the greatest gain until none
+    moves; communities become nodes, and so on. A community is named by its smallest node; ties go to the smaller name.
+
+    Undirected (a, b, weight) of at most ``limit`` edges (checked; every move depends on all before, so it is one task's
+    work); larger graphs have ``label_propagation``.
+    """
+    from foliant.session import ship
+
+    if edges.count() > limit:
+        raise ValueError(f"more than {limit} edges: use label_propagation")
+    ship(edges.sparkSession)
+    rows = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("weight").cast("double").alias("weight"), F.lit(0).alias("k"))
+    return rows.groupBy("k").applyInPandas(lambda frame: _louvain(frame, resolution), "node long, community long")
+
+
+def nearest_resolution(edges: DataFrame, target: int, resolutions: Sequence[float] = RESOLUTIONS) -> tuple[float, DataFrame]:
+    """Of the communities at several resolutions those whose number is nearest to ``target``; ties to the smaller resolution."""
+    best: tuple[int, float, DataFrame] | None = None
+    for r in resolutions:
+        found = louvain(edges, r)
+        off = abs(found.select("community").distinct().count() - target)
+        if best is None or off < best[0]:
+            best = (off, r, found)
+    return best[1], best[2]
+
+
+def _louvain(frame, resolution: float):
+    import pandas as pd
+
+    near: dict[int, dict[int, float]] = {}
+    for a, b, w in zip(frame["a"].tolist(), frame["b"].tolist(), frame["weight"].tolist(), strict=True):
+        near.setdefault(a, {})[b] = near.setdefault(a, {}).get(b, 0.0) + w
+        if a != b:
+            near.setdefault(b, {})[a] = near.setdefault(b, {}).get(a, 0.0) + w
+    whole = sum(w * (2 if u == v else 1) for u, out in near.items() for v, w in out.items())
+    home = {u: u for u in near}  # node → the community that holds it, by way of its level
+    while True:
+        weight = {u: sum(w * (2 if u == v else 1) for v, w in out.items()) for u, out in near.items()}
+        own = {u: u for u in near}
+        total = dict(weight)
+        moved, moved_any = True, False
+        while moved:
+            moved = False
+            for u in sorted(near):
+                now = own[u]
+                total[now] -= weight[u]
+                to: dict[int, float] = {now: 0.0}
+                for v, w in near[u].items():
+                    if v != u:
+                        to[own[v]] = to.get(own[v], 0.0) + w
+                gain = {c: w - resolution * weight[u] * total[c] / whole for c, w in to.items()}
+                best = min(gain, key=lambda c: (-round(gain[c], 12), c))
+                if gain[best] <= gain[now] + 1e-12:
+                    best = now
+                total[best] += weight[u]
+                if best != now:
+                    own[u], moved, moved_any = best, True, True
+        if not moved_any:
+            break
+        name: dict[int, int] = {}
+        for u in sorted(near):
+            name.setdefault(own[u], u)
+        home = {u: name[own[c]] for u, c in home.items()}
+        merged: dict[int, dict[int, float]] = {}
+        for u, out in near.items():
+            for v, w in out.items():
+                if u <= v:
+                    a, b = sorted((name[own[u]], name[own[v]]))
+                    merged.setdefault(a, {})[b] = merged.setdefault(a, {}).get(b, 0.0) + w
+                    if a != b:
+                        merged.setdefault(b, {})[a] = merged[a][b]
+                    else:
+                        merged.setdefault(a, {})
+        near = merged
+    least: dict[int, int] = {}
+    for u in sorted(home):
+        least.setdefault(home[u], u)
+    return pd.DataFrame([(u, least[c]) for u, c in sorted(home.items())], columns=["node", "community"])

@@ -1,4 +1,4 @@
-"""Grouping: spherical k-means, balance and purity, risk flags, and capacity-bound reassignment."""
+"""Grouping: spherical k-means, linkage, splitting and capacity-bound reassignment, balance and purity, risk flags, titles."""
 
 from __future__ import annotations
 
@@ -111,3 +111,108 @@ def interleave(rows: DataFrame, group_count: int, order_desc: str, tie: str) ->
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     within = F.row_number().over(Window.partitionBy("_part").orderBy(F.desc(order_desc), tie))
     return ranged.withColumn("_w", within).join(F.broadcast(before), "_part").withColumn("group", F.pmod(F.col("_before") + F.col("_w") - 1, F.lit(group_count)).cast("int")).drop("_part", "_w", "_before")
+
+
+#: Members of one bucket that linkage takes; it needs all their similarities at once.
+LINKAGE = 3_000
+
+
+def average_linkage(items: DataFrame, bucket: str, key: str, features: str, least: float, kind: str = "words", to: int | None = None) -> DataFrame:
+    """(bucket, key, cluster): within each bucket the two clusters with the highest mean similarity are merged while it is at
+    least ``least`` and, if given, more than ``to`` clusters are left. A cluster is named by its smallest key.
+
+    kind: "words" (arrays compared by Jaccard) or "vectors" (by cosine). Ties go to the smaller names. Buckets of more than
+    LINKAGE members are refused: split them first, as ``split_oversize`` does.
+    """
+    ship(items.sparkSession)
+    kinds = dict(items.dtypes)
+
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        if len(frame) > LINKAGE:
+            raise ValueError(f"more than {LINKAGE} members in one bucket")
+        frame = frame.sort_values(key).reset_index(drop=True)
+        n = len(frame)
+        if kind == "words":
+            sets = [set(x) if x is not None else set() for x in frame[features]]
+            s = np.array([[len(a & b) / len(a | b) if a | b else 0.0 for b in sets] for a in sets]).reshape(n, n)
+        else:
+            u = _units(np.stack([np.asarray(v, float) for v in frame[features]]))
+            s = u @ u.T
+        own, size = np.arange(n), np.ones(n)
+        s = np.round(s, 12)
+        np.fill_diagonal(s, -2.0)
+        alive = n
+        while alive > max(1, to or 1):
+            i, j = divmod(int(np.argmax(s)), n)  # the first of the highest: smallest names
+            if s[i, j] < least:
+                break
+            i, j = min(i, j), max(i, j)
+            row = np.round((s[i] * size[i] + s[j] * size[j]) / (size[i] + size[j]), 12)
+            row[s[i] == -2.0], row[s[j] == -2.0] = -2.0, -2.0
+            s[i], s[:, i] = row, row
+            s[i, i] = s[i, j] = s[j, i] = -2.0
+            s[j], s[:, j] = -2.0, -2.0
+            size[i] += size[j]
+            own[own == j] = i
+            alive -= 1
+        return pd.DataFrame({bucket: frame[bucket], key: frame[key], "cluster": frame[key].to_numpy()[own]})
+
+    rows = items.select(bucket, key, features).where(F.col(key).isNotNull() & F.col(bucket).isNotNull()).dropDuplicates([bucket, key])
+    return rows.groupBy(bucket).applyInPandas(fold, f"`{bucket}` {kinds[bucket]}, `{key}` {kinds[key]}, cluster {kinds[key]}")
+
+
+def group_count(members: int, target: int = 25, least: int = 1) -> int:
+    """How many groups so many members make: as many as come nearest to the target size."""
+    return max(least, int(members / target + 0.5)) if members else 0
+
+
+def split_oversize(vectors: DataFrame, most: int, rounds: int = 6, stash: Stash | None = None) -> DataFrame:
+    """(vec_id, cluster): (vec_id, embedding, cluster) with every cluster of more than ``most`` split in two at the mean of
+    its widest axis, again and again, until none is larger or ``rounds`` are done; what is still larger then is cut by id."""
+    stash = stash or Stash(vectors.sparkSession)
+    now = stash.keep(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("cluster").cast("string").alias("cluster")), "clusters")
+    for _ in range(rounds):
+        sizes = now.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") > most)
+        if not sizes.take(1):
+            return now.select("vec_id", "cluster")
+        large = now.join(sizes.select("cluster"), "cluster", "left_semi")
+        # both halves of every large cluster in one pass: by the side of its mean on its widest axis
+        axis = large.select("cluster", F.posexplode("embedding").alias("i", "x")).groupBy("cluster", "i").agg(F.stddev_pop("x").alias("d"), F.avg("x").alias("m"))
+        widest = axis.groupBy("cluster").agg(F.max_by(F.struct("i", "m"), F.struct("d", -F.col("i"))).alias("w"))
+        side = F.when(F.get("embedding", F.col("w.i")) > F.col("w.m"), "1").otherwise("0")
+        halved = large.join(widest, "cluster").select("vec_id", "embedding", F.concat_ws(".", "cluster", side).alias("cluster"))
+        now = stash.keep(now.join(sizes.select("cluster"), "cluster", "left_anti").select("vec_id", "embedding", "cluster").unionByName(halved), "clusters")
+    number = F.row_number().over(Window.partitionBy("cluster").orderBy("vec_id"))
+    return now.select("vec_id", F.concat_ws(".", "cluster", F.floor((number - 1) / most).cast("string")).alias("cluster"))
+
+
+def reassign_small(members: DataFrame, least: int, most: int, rounds: int = 4) -> DataFrame:
+    """(vec_id, cluster): members of clusters under ``least`` go, the most similar first, to the cluster whose centre is most
+    like them among those with room under ``most``; centres are those of the start of a round. A round moves at most as many
+    as a cluster has room for; what finds no room stays."""
+    stash = Stash(members.sparkSession)
+    now = stash.keep(members.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("cluster").cast("string").alias("cluster")), "members")
+    for _ in range(rounds):
+        sizes = stash.keep(now.groupBy("cluster").agg(F.count("*").alias("n")), "sizes")
+        small = now.join(sizes.where(F.col("n") < least).select("cluster"), "cluster", "left_semi")
+        open_ = sizes.where((F.col("n") >= least) & (F.col("n") < most)).select("cluster", (most - F.col("n")).alias("room"))
+        centres = now.join(open_, "cluster").select("cluster", "room", F.posexplode("embedding").alias("i", "x")).groupBy("cluster", "room", "i").agg(F.avg("x").alias("x")).groupBy("cluster", "room").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("c"))
+        if centres.count() * 4096 > CENTRE_NUMBERS:
+            raise ValueError("more centres than may be broadcast; reassign in parts")
+        scored = small.select("vec_id", F.col("embedding").alias("e")).crossJoin(F.broadcast(centres.withColumnRenamed("cluster", "goal"))).select("vec_id", "goal", "room", F.round(cosine(F.col("e"), F.col("c")), 9).alias("s"))
+        best = scored.groupBy("vec_id").agg(F.max_by(F.struct("goal", "room", "s"), F.struct("s", F.hash("goal"))).alias("b")).select("vec_id", "b.*")
+        taken = best.withColumn("r", F.row_number().over(Window.partitionBy("goal").orderBy(F.desc("s"), "vec_id"))).where(F.col("r") <= F.col("room")).select("vec_id", "goal")
+        taken = stash.keep(taken, "taken")
+        if not taken.take(1):
+            break
+        now = stash.keep(now.join(taken, "vec_id", "left").select("vec_id", "embedding", F.coalesce("goal", "cluster").alias("cluster")), "members")
+    return now.select("vec_id", "cluster")
+
+
+def group_titles(rows: DataFrame, group: str, title: str, key: str, first: int = 10, words: int = 2) -> DataFrame:
+    """(group, title): the most frequent words (runs of 2 to 8 ideographs) in the first titles of each group, ties in order of
+    the words."""
+    few = rows.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(key))).where(F.col("_r") <= first)
+    counted = few.select(group, F.explode(F.regexp_extract_all(F.coalesce(title, F.lit("")), F.lit(r"([一-鿿]{2,8})"), F.lit(1))).alias("w")).groupBy(group, "w").agg(F.count("*").alias("n"))
+    top = counted.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), "w"))).where(F.col("_r") <= words)
+    return top.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "w"))), lambda s: s["w"]).alias("t")).select(group, F.concat_ws("、", "t").alias("title"))

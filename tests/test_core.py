@@ -192,7 +192,7 @@ def test_iterations_are_whole(spark, monkeypatch):
     members = spark.createDataFrame([(o, s) for o in range(300) for s in (o % 40, (o * 7 + o // 40) % 40, (o % 40 + 1) % 40)], "l_orderkey long, l_suppkey long")
     monkeypatch.setattr(data_plans, "_supplier_graph", lambda *_: graph.cooccurrence(members, "l_orderkey", "l_suppkey"))
     edges = [tuple(r) for r in data_plans._supplier_graph().collect()]
-    labels = plain_labels(edges, data_plans.WHOLE_LABEL_ROUNDS)
+    labels = plain_labels(edges, data_plans.LABEL_ROUNDS)
     assert {r.node: r.label for r in data_plans.part_communities(spark, "").collect()} == labels
     assert {r.label: r["size"] for r in data_plans.community_sizes(spark, "").collect()} == {x: list(labels.values()).count(x) for x in labels.values()}
     weight = {}
