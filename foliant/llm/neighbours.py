@@ -1,9 +1,10 @@
 """The most similar vectors of every vector: collision counting over sorted projection arrays, then exact cosines.
 
-Every vector is projected on DIRECTIONS fixed directions and enters, by sign, the sorted arrays of the ROOTS directions on
-which it is most extreme (there arrays are sparse, and similar vectors stay together: the hash that is aware of the
-query). Within an array a window around each vector's own value grows step by step; the vectors it meets collide.
-Pairs that collide in at least THRESHOLD arrays are verified by their exact cosine.
+Every vector is projected on DIRECTIONS fixed directions; the ROOTS on which it is most extreme, by sign, are those where
+it may collide (similar vectors stay together there: the hash that is aware of the query). A pair counts from THRESHOLD
+collisions on, so the arrays are named by pairs of such directions: in each of them all vectors meet that collide in both,
+sorted by their projection on the first. Within an array a window around each vector's own value grows step by step;
+what it meets, and is close by its sketch, is verified by the exact cosine.
 
 A vector with more than ENOUGH close ones in any window is crowded. Crowded vectors are compared with each other exactly,
 block by block; only blocks too far apart to hold any pair are passed over. What a crowded vector and one that isn't have
@@ -23,15 +24,16 @@ from pyspark.sql import functions as F
 
 from foliant.session import Stash, spread
 
-DIRECTIONS = 2048
-ROOTS = 24
+DIRECTIONS = 512
+ROOTS = 12
+#: Collisions that make a candidate; the arrays are those of so many directions.
 THRESHOLD = 2
 #: Bits of the sign sketch that an entry carries, in words of 64, and how many standard deviations its Hamming distance
 #: may lie above what the least cosine gives. 3 of them lose 0.13 % of pairs just at the least cosine, fewer above it.
-WORDS, SLACK = 4, 3.0
+WORDS, SLACK = 2, 3.0
 SKETCH = 64 * WORDS
 #: Entries that are searched together, about: whole arrays, as many as that takes.
-GROUP = 50_000
+GROUP = 200_000
 #: Ids broadcast at most (16 bytes each); beyond, the join is by shuffle.
 BROADCAST_IDS = 500_000
 #: Vectors on either side of a window at first, and the growth per step (virtual rehashing). The window stops growing
@@ -104,10 +106,15 @@ def _project(dims: dict[str, int]):
             sketch = np.packbits(y[:, DIRECTIONS:] > 0, axis=1).view(np.int64)
             y = y[:, :DIRECTIONS]
             top = np.argpartition(-np.abs(y), ROOTS, axis=1)[:, :ROOTS]
+            top = np.sort(top, axis=1)
             value = np.take_along_axis(y, top, 1)
+            sign = top * 2 + (value < 0)
+            i, j = np.triu_indices(ROOTS, 1)
+            array = (sign[:, i] * (2 * DIRECTIONS) + sign[:, j]).ravel().astype(np.int32)
+            many = len(i)
             yield pa.record_batch(
-                [pa.array([model] * (len(vec) * ROOTS)), pa.array((top * 2 + (value < 0)).ravel().astype(np.int32)), pa.array(np.repeat(vec, ROOTS)), pa.array(np.abs(value).ravel()), *(pa.array(np.repeat(sketch[:, i], ROOTS)) for i in range(WORDS))],
-                names=["model", "array", "vec", "value", *(f"s{i}" for i in range(WORDS))],
+                [pa.array([model] * (len(vec) * many)), pa.array(array), pa.array(np.repeat(vec, many)), pa.array(np.abs(value)[:, i].ravel()), *(pa.array(np.repeat(sketch[:, w], many)) for w in range(WORDS))],
+                names=["model", "array", "vec", "value", *(f"s{w}" for w in range(WORDS))],
             )
 
     return run
@@ -131,14 +138,36 @@ def _collide(least: float):
         order = order[np.lexsort((value[order], slot[order]))]
         edges = np.append(np.flatnonzero(np.diff(slot[order], prepend=slot[order][:1] - 1)), len(order))
         out: list[tuple[np.ndarray, np.ndarray]] = []
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if b - a > 1:
-                rows = order[a:b]
-                windows(value[rows], vec[rows], [w[rows] for w in sketch], out)
+        size = np.diff(edges)
+        for a, b in zip(edges[:-1][size > WINDOW], edges[1:][size > WINDOW], strict=True):
+            rows = order[a:b]
+            windows(value[rows], vec[rows], [w[rows] for w in sketch], out)
+        rows = order[np.repeat((size > 1) & (size <= WINDOW), size)]
+        together(slot[rows], value[rows], vec[rows], [w[rows] for w in sketch], out)
         a, b = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (vec[:0], vec[:0])
-        # a pair collides once in an array, from either side; arrays of one group count one by one
         return pa.table({"a": a, "b": b})
 
+    def together(slot: np.ndarray, value: np.ndarray, vec: np.ndarray, s: list[np.ndarray], out: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """All small arrays at once: each vector with the next, the next but one, and so on, within its array and the radius."""
+        at, close = np.arange(len(slot)), np.zeros(len(slot), np.int32)
+        found = []
+        for step in range(1, WINDOW):
+            at = at[at + step < len(slot)]
+            at = at[slot[at + step] == slot[at]]
+            at = at[value[at + step] - value[at] <= radius]
+            if not len(at):
+                break
+            count = sum(np.bitwise_count(w[at] ^ w[at + step]).astype(np.int16) for w in s)
+            hit = at[count <= far]
+            close += np.bincount(hit, minlength=len(slot)).astype(np.int32) + np.bincount(hit + step, minlength=len(slot)).astype(np.int32)
+            found.append((hit, hit + step))
+        x, y = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (at[:0], at[:0])
+        crowded = close > ENOUGH
+        keep = ~(crowded[x] & crowded[y])  # pairs of two crowded ones are compared block by block
+        pair = np.unique(np.stack([np.minimum(vec[x], vec[y])[keep], np.maximum(vec[x], vec[y])[keep]]), axis=1)
+        hot = np.unique(vec[crowded])
+        out.append((np.concatenate([pair[0], hot]), np.concatenate([pair[1], hot])))
+
     def windows(value: np.ndarray, vec: np.ndarray, s: list[np.ndarray], out: list[tuple[np.ndarray, np.ndarray]]) -> None:
         n = len(value)
         found, crowded = [], []
@@ -298,10 +327,10 @@ def similar_vectors(vectors: DataFrame, dims: dict[str, int], least: float = 0.8
     named = source.mapInArrow(_names(dims), "id string, model string, vec long").groupBy("id", "model").agg(F.min("vec").alias("vec"))
     named = stash.keep(named, "named")
     entries = source.mapInArrow(_project(dims), "model string, array int, vec long, value float, " + ", ".join(f"s{i} long" for i in range(WORDS)))
-    groups = max(1, min(2 * DIRECTIONS, named.count() * ROOTS // GROUP))
+    groups = max(1, named.count() * (ROOTS * (ROOTS - 1) // 2) // GROUP)
     slotted = entries.withColumn("slot", F.xxhash64("model", "array")).drop("model", "array").withColumn("grp", F.pmod("slot", F.lit(groups)).cast("int"))
     hits = slotted.groupBy("grp").applyInArrow(_collide(least), "a long, b long")
-    collided = stash.keep(hits.groupBy("a", "b").agg(F.count("*").alias("n")).where((F.col("n") >= THRESHOLD) | (F.col("a") == F.col("b"))).select("a", "b"), "pairs")
+    collided = stash.keep(hits.distinct(), "pairs")
     pairs, crowded = collided.where("a <> b"), collided.where("a = b").select(F.col("a").alias("vec"))
     met = collided.select(F.col("a").alias("vec")).union(collided.select("b")).distinct()
     ids = stash.keep(named.join(met, "vec").groupBy("vec").agg(F.min("id").alias("id")).select("id").distinct(), "ids")
