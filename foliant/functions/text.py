@@ -279,3 +279,8 @@ def fenced_object(text: Column) -> Column:
     """The first object of an answer that may stand in a code fence; empty if there is none."""
     inside = F.regexp_replace(text, r"```[A-Za-z]*", "")
     return F.regexp_extract(inside, r"(?s)(\{.*\})", 1)
+
+
+def topic_tokens(label: Column, most: int = 8) -> Column:
+    """The first words of a label between signs, of at least two characters."""
+    return F.slice(F.filter(F.split(F.lower(label), r"[\s　,，、;；/|·\-_()（）]+"), lambda x: F.length(x) >= 2), 1, most)

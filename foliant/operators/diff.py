@@ -48,8 +48,8 @@ def _greedy(frame: pd.DataFrame) -> pd.DataFrame:
 def match_metrics(left: DataFrame, right: DataFrame) -> DataFrame:
     """(pair, name, left_id, right_id, gap): metrics of one name in two documents, nearest values first, each used once.
 
-    Inputs: (pair, name, id, value). Greedy one-to-one matching depends on order, so it runs by pair and name; only candidates
-    that may be matched reach it: of each metric the nearest as many as the other side has rivals for.
+    Inputs: (pair, name, id, value). Greedy one-to-one matching depends on order, so it runs by pair and name, over all
+    combinations of what two documents say under one name, which are a handful.
     """
     ship(left.sparkSession)
     a = left.select("pair", "name", F.col("id").cast("long").alias("left_id"), F.col("value").cast("double").alias("left_value")).dropna()
