@@ -30,10 +30,12 @@ ROOTS = 12
 THRESHOLD = 2
 #: Bits of the sign sketch that an entry carries, in words of 64, and how many standard deviations its Hamming distance
 #: may lie above what the least cosine gives. 3 of them lose 0.13 % of pairs just at the least cosine, fewer above it.
-WORDS, SLACK = 2, 3.0
+WORDS, SLACK = 4, 3.0
 SKETCH = 64 * WORDS
 #: Entries that are searched together, about: whole arrays, as many as that takes.
-GROUP = 200_000
+GROUP = 150_000
+#: Entries that a task holds before it hands them on.
+FLUSH = 1_000_000
 #: Ids broadcast at most (16 bytes each); beyond, the join is by shuffle.
 BROADCAST_IDS = 500_000
 #: Vectors on either side of a window at first, and the growth per step (virtual rehashing). The window stops growing
@@ -95,31 +97,48 @@ def _units(dims: dict[str, int]):
     return run
 
 
-def _project(dims: dict[str, int]):
+def _project(dims: dict[str, int], groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Entries of the arrays, as one row of packed columns for each group of arrays, so that a shuffle moves a few long rows."""
         seen: set[int] = set()  # copies in one partition enter the arrays once
+        i, j = np.triu_indices(ROOTS, 1)
+        held: dict[str, list[tuple[np.ndarray, ...]]] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for model, parts in held.items():
+                array, vec, value, sketch = (np.concatenate(x) for x in zip(*parts, strict=True))
+                grp = (array.astype(np.int64) * 2654435761 >> 7) % groups
+                order = np.argsort(grp, kind="stable")
+                edges = np.append(np.flatnonzero(np.diff(grp[order], prepend=-1)), len(order))
+                cut = lambda x, order=order, edges=edges: pa.array([x[order[a:b]].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
+                yield pa.record_batch([pa.array([model] * (len(edges) - 1)), pa.array(grp[order[edges[:-1]]].astype(np.int32)), cut(array), cut(vec), cut(value), cut(sketch)], names=["model", "grp", *_ENTRY])
+
         for _, model, vec, u in _vectors(batches, dims):
-            first = np.array([i for i, v in enumerate(vec.tolist()) if not (v in seen or seen.add(v))], np.int64)
+            first = np.array([n for n, v in enumerate(vec.tolist()) if not (v in seen or seen.add(v))], np.int64)
             if not len(first):
                 continue
             vec, y = vec[first], u[first] @ _directions(dims[model])
-            sketch = np.packbits(y[:, DIRECTIONS:] > 0, axis=1).view(np.int64)
+            sketch = np.packbits(y[:, DIRECTIONS:] > 0, axis=1).view(np.uint64)
             y = y[:, :DIRECTIONS]
-            top = np.argpartition(-np.abs(y), ROOTS, axis=1)[:, :ROOTS]
-            top = np.sort(top, axis=1)
+            top = np.sort(np.argpartition(-np.abs(y), ROOTS, axis=1)[:, :ROOTS], axis=1)
             value = np.take_along_axis(y, top, 1)
             sign = top * 2 + (value < 0)
-            i, j = np.triu_indices(ROOTS, 1)
             array = (sign[:, i] * (2 * DIRECTIONS) + sign[:, j]).ravel().astype(np.int32)
-            many = len(i)
-            yield pa.record_batch(
-                [pa.array([model] * (len(vec) * many)), pa.array(array), pa.array(np.repeat(vec, many)), pa.array(np.abs(value)[:, i].ravel()), *(pa.array(np.repeat(sketch[:, w], many)) for w in range(WORDS))],
-                names=["model", "array", "vec", "value", *(f"s{w}" for w in range(WORDS))],
-            )
+            held.setdefault(model, []).append((array, np.repeat(vec, len(i)), np.abs(value)[:, i].ravel().astype(np.float32), np.repeat(sketch, len(i), axis=0)))
+            size += len(array)
+            if size >= FLUSH:
+                yield from flush()
+                held.clear()
+                size = 0
+        yield from flush()
 
     return run
 
 
+_ENTRY = ("arrays", "vecs", "values", "sketches")
+
+
 def _collide(least: float):
     angle = np.arccos(least) / np.pi
     far = SKETCH * angle + SLACK * np.sqrt(SKETCH * angle * (1 - angle))
@@ -129,8 +148,8 @@ def _collide(least: float):
 
     def one(table: pa.Table) -> pa.Table:
         """All arrays of a group, each by itself. Rows with a = b tell that a is crowded."""
-        slot, vec, value = (table.column(c).to_numpy() for c in ("slot", "vec", "value"))
-        sketch = [table.column(f"s{i}").to_numpy().view(np.uint64) for i in range(WORDS)]
+        slot, vec, value, words = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in zip(_ENTRY, (np.int32, np.int64, np.float32, np.uint64), strict=True))
+        sketch = list(words.reshape(-1, WORDS).T.copy())
         order = np.lexsort((value, vec, slot))
         first = np.ones(len(order), bool)
         first[1:] = (slot[order][1:] != slot[order][:-1]) | (vec[order][1:] != vec[order][:-1])
@@ -326,10 +345,9 @@ def similar_vectors(vectors: DataFrame, dims: dict[str, int], least: float = 0.8
     source = spread(source)
     named = source.mapInArrow(_names(dims), "id string, model string, vec long").groupBy("id", "model").agg(F.min("vec").alias("vec"))
     named = stash.keep(named, "named")
-    entries = source.mapInArrow(_project(dims), "model string, array int, vec long, value float, " + ", ".join(f"s{i} long" for i in range(WORDS)))
     groups = max(1, named.count() * (ROOTS * (ROOTS - 1) // 2) // GROUP)
-    slotted = entries.withColumn("slot", F.xxhash64("model", "array")).drop("model", "array").withColumn("grp", F.pmod("slot", F.lit(groups)).cast("int"))
-    hits = slotted.groupBy("grp").applyInArrow(_collide(least), "a long, b long")
+    entries = source.mapInArrow(_project(dims, groups), "model string, grp int, " + ", ".join(f"{c} binary" for c in _ENTRY))
+    hits = entries.groupBy("model", "grp").applyInArrow(_collide(least), "a long, b long")
     collided = stash.keep(hits.distinct(), "pairs")
     pairs, crowded = collided.where("a <> b"), collided.where("a = b").select(F.col("a").alias("vec"))
     met = collided.select(F.col("a").alias("vec")).union(collided.select("b")).distinct()

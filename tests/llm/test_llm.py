@@ -174,6 +174,19 @@ def test_connected_groups(spark):
     assert {tuple(r) for r in similarity_links(links).collect()} == {("a", "b"), ("c", "d")}
 
 
+def test_hot_keys_are_spread(spark, monkeypatch):
+    from foliant.llm import components
+
+    monkeypatch.setattr(components, "HOT", 50)
+    rng = random.Random(17)
+    many = spark.createDataFrame([(i, 0 if i % 3 else rng.randrange(1, 40)) for i in range(900)], "node long, parent long")
+    one = spark.createDataFrame([(i, i * 10) for i in range(30)], "parent long, up long")
+    got = sorted(map(tuple, components.joined(many, one, "parent", 900).select("node", "parent", "up").collect()))
+    assert got == sorted(map(tuple, many.join(one, "parent").select("node", "parent", "up").collect())) and len(got) > 600
+    star = spark.createDataFrame([("hub", f"h{i:03d}") for i in range(300)] + [(f"h{i:03d}", f"h{i + 1:03d}") for i in range(0, 200, 7)], "a string, b string")
+    assert {r.group_id for r in connected_groups(star).collect()} == {"h000"}
+
+
 # --- p4 --------------------------------------------------------------------------------------------------------------
 def test_residue(spark):
     rng = random.Random(6)
