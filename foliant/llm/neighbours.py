@@ -347,7 +347,8 @@ def similar_vectors(vectors: DataFrame, dims: dict[str, int], least: float = 0.8
     named = stash.keep(named, "named")
     groups = max(1, named.count() * (ROOTS * (ROOTS - 1) // 2) // GROUP)
     entries = source.mapInArrow(_project(dims, groups), "model string, grp int, " + ", ".join(f"{c} binary" for c in _ENTRY))
-    hits = entries.groupBy("model", "grp").applyInArrow(_collide(least), "a long, b long")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), groups)
+    hits = entries.repartition(parts, "model", "grp").groupBy("model", "grp").applyInArrow(_collide(least), "a long, b long")
     collided = stash.keep(hits.distinct(), "pairs")
     pairs, crowded = collided.where("a <> b"), collided.where("a = b").select(F.col("a").alias("vec"))
     met = collided.select(F.col("a").alias("vec")).union(collided.select("b")).distinct()
