@@ -133,3 +133,19 @@ def test_more_text_functions(spark):
     assert one("关于光伏的研究", T.simple_title) == "光伏" and one("光伏（一期）", T.topic_key) == "光伏"
     assert one("a|b|a|c|d", lambda c: T.row_fields(F.split(c, r"\|"))) == {"a": "b"}
     assert one("well-\nknown  \n\n\n\nx", T.repaired) == "wellknown\n\nx"
+
+
+def test_longest_shared_part(spark):
+    from foliant.operators import alignment
+
+    rows = [(1, "光伏薄膜检测", "新光伏薄膜厂"), (2, "甲", "乙"), (3, None, "x"), (4, "", ""), (5, "a" * 300 + "b", "a" * 299)]
+    got = {r.id: (r.shared, r.shared_share) for r in alignment.longest_shared(spark.createDataFrame(rows, "id long, a string, b string")).collect()}
+    assert got == {1: (4, 4 / 6), 2: (0, 0.0), 3: (0, 0.0), 4: (0, 0.0), 5: (299, 1.0)}
+    assert spark.createDataFrame([("光伏、Ab；c；电极",)], "x string").select(T.topic_tokens(F.col("x")).alias("t")).first().t == ["光伏", "ab", "电极"]
+
+
+def test_numbers_over_ranges(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.randrange(5)) for i in range(400)]
+    got = {r.i: r.n for r in graph.numbered(spark.createDataFrame(rows, "i long, s long"), [F.desc("s"), F.col("i")], "n").collect()}
+    assert got == {i: n for n, (i, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1)}
