@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from foliant.session import Stash, spread
 
-DIRECTIONS = 512
+DIRECTIONS = 256
 ROOTS = 12
 #: Collisions that make a candidate; the arrays are those of so many directions.
 THRESHOLD = 2
