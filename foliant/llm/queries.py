@@ -114,7 +114,7 @@ _SPANS = """s AS (SELECT DISTINCT match_id, doc_a, text FROM match_segments WHER
         w AS (SELECT match_id, doc_a, i, substr(text, i + 1, 60) AS g FROM (SELECT match_id, doc_a, text, unnest(range(0, length(text) - 59)) AS i FROM s)),
         h AS (SELECT g FROM w GROUP BY g HAVING count(DISTINCT doc_a) > 1), f AS (SELECT match_id, i FROM w SEMI JOIN h USING (g)),
         m AS (SELECT match_id, i, i - lag(i) OVER (PARTITION BY match_id ORDER BY i) AS step FROM f),
-        n AS (SELECT match_id, i, sum(CASE WHEN step <= 60 THEN 0 ELSE 1 END) OVER (PARTITION BY match_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM m)
+        n AS (SELECT match_id, i, sum(CASE WHEN step <= 60 THEN 0 ELSE 1 END) OVER (PARTITION BY match_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM m),
         spans AS (SELECT match_id, min(i)::BIGINT AS span_start, max(i)::BIGINT + 60 AS span_end FROM n GROUP BY match_id, run)"""
 
 ORACLES: dict[str, str] = {
