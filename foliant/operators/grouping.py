@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -113,31 +116,99 @@ def interleave(rows: DataFrame, group_count: int, order_desc: str, tie: str) ->
     return ranged.withColumn("_w", within).join(F.broadcast(before), "_part").withColumn("group", F.pmod(F.col("_before") + F.col("_w") - 1, F.lit(group_count)).cast("int")).drop("_part", "_w", "_before")
 
 
-#: Members of one bucket that linkage takes; it needs all their similarities at once.
+#: Vectors of one bucket that linkage takes; it needs all their similarities at once. Words have no such limit.
 LINKAGE = 3_000
 
 
+def _word_linkage(sets: list[frozenset], least: float, to: int) -> np.ndarray:
+    """The first member of each member's cluster. Only what can count is held: a merge needs two members that are alike by
+    ``least``, so clusters stay within the parts that such pairs connect, and only similarities above 0 within a part are kept."""
+    heads: dict[frozenset, int] = {}
+    # equal sets merge before all others; under a number of clusters their order counts, so then each is by itself
+    copy_of = np.array([i if to > 1 or not x or least > 1 else heads.setdefault(x, i) for i, x in enumerate(sets)], int)
+    own, size = copy_of.copy(), np.bincount(copy_of, minlength=len(sets)).astype(float).tolist()
+    each = np.flatnonzero(copy_of == np.arange(len(sets))).tolist()
+    postings: dict = {}
+    for i in each:
+        for x in sets[i]:
+            postings.setdefault(x, []).append(i)
+    held = {x: np.array(v) for x, v in postings.items()}
+    lens = np.array([len(x) for x in sets], float)
+
+    def like(i: int) -> tuple[np.ndarray, np.ndarray]:
+        """The members after i that share a word with it, and how similar they are."""
+        met = [v[np.searchsorted(v, i, "right") :] for v in (held[x] for x in sets[i])]
+        others, same = np.unique(np.concatenate(met), return_counts=True) if met else (np.zeros(0, int), np.zeros(0))
+        return others, same / (lens[i] + lens[others] - same)
+
+    part = list(range(len(sets)))
+
+    def root(i: int) -> int:
+        while part[i] != i:
+            part[i] = i = part[part[i]]
+        return i
+
+    for i in each:
+        others, s = like(i)
+        for j in others[np.round(s, 9) >= least].tolist() if least > 0 else each:
+            part[root(j)] = root(i)
+    near: dict[int, dict[int, float]] = {i: {} for i in each}  # sums over the members' pairs: a mean of rounded means would drift off a tie
+    heap = []
+    mean = lambda i, j: round(near[i][j] / (size[i] * size[j]), 9)
+    for i in each:
+        others, s = like(i)
+        mine = root(i)
+        for j, x in zip(others.tolist(), s.tolist(), strict=True):
+            if root(j) == mine:
+                near[i][j] = near[j][i] = x * size[i] * size[j]
+                if mean(i, j) >= least:
+                    heap.append((-mean(i, j), i, j))
+    if least <= 0:  # what has nothing in common may merge as well
+        for i, j in itertools.combinations(each, 2):
+            if j not in near[i]:
+                near[i][j] = near[j][i] = 0.0
+                heap.append((-0.0, i, j))
+    heapq.heapify(heap)
+    alive, into = len(near), {}
+    while heap and alive > to:
+        x, i, j = heapq.heappop(heap)  # the highest; of equal ones the smallest names
+        if i not in near or j not in near[i] or mean(i, j) != -x:
+            continue
+        a, b = near[i], near.pop(j)
+        del a[j], b[i]
+        size[i] += size[j]
+        into[j] = i
+        for k in {*a, *b}:
+            a[k] = near[k][i] = a.get(k, 0.0) + b.get(k, 0.0)
+            near[k].pop(j, None)
+            if (x := mean(i, k)) >= least:
+                heapq.heappush(heap, (-x, min(i, k), max(i, k)))
+        alive -= 1
+    for j in sorted(into):  # a cluster goes into one of a smaller name, which is settled by then
+        into[j] = into.get(into[j], into[j])
+    return np.array([into.get(i, i) for i in own.tolist()], int)
+
+
 def average_linkage(items: DataFrame, bucket: str, key: str, features: str, least: float, kind: str = "words", to: int | None = None) -> DataFrame:
     """(bucket, key, cluster): within each bucket the two clusters with the highest mean similarity are merged while it is at
     least ``least`` and, if given, more than ``to`` clusters are left. A cluster is named by its smallest key.
 
     kind: "words" (arrays compared by Jaccard) or "vectors" (by cosine). Ties go to the smaller names. Buckets of more than
-    LINKAGE members are refused: split them first, as ``split_oversize`` does.
+    LINKAGE vectors are refused: split them first, as ``split_oversize`` does.
     """
     ship(items.sparkSession)
     kinds = dict(items.dtypes)
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        if len(frame) > LINKAGE:
-            raise ValueError(f"more than {LINKAGE} members in one bucket")
         frame = frame.sort_values(key).reset_index(drop=True)
         n = len(frame)
         if kind == "words":
-            sets = [set(x) if x is not None else set() for x in frame[features]]
-            s = np.array([[len(a & b) / len(a | b) if a | b else 0.0 for b in sets] for a in sets]).reshape(n, n)
-        else:
-            u = _units(np.stack([np.asarray(v, float) for v in frame[features]]))
-            s = u @ u.T
+            own = _word_linkage([frozenset(x) if x is not None else frozenset() for x in frame[features]], least, max(1, to or 1))
+            return pd.DataFrame({bucket: frame[bucket], key: frame[key], "cluster": frame[key].to_numpy()[own]})
+        if n > LINKAGE:
+            raise ValueError(f"more than {LINKAGE} vectors in one bucket")
+        u = _units(np.stack([np.asarray(v, float) for v in frame[features]]))
+        s = u @ u.T
         own, size = np.arange(n), np.ones(n)
         s = np.round(s, 12)
         np.fill_diagonal(s, -2.0)

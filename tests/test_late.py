@@ -102,6 +102,15 @@ def test_average_linkage(spark):
     assert grouping.average_linkage(frame.limit(0), "bucket", "key", "w", 0.3).count() == 0
 
 
+def test_linkage_of_large_buckets(spark):
+    rng = random.Random(15)
+    parts = [{f"k{p:03d}{i}": {f"{p}{rng.choice('甲乙丙丁戊')}" for _ in range(rng.randrange(1, 4))} for i in range(10)} for p in range(310)]
+    assert sum(map(len, parts)) > grouping.LINKAGE
+    frame = spark.createDataFrame([("x", k, sorted(w)) for part in parts for k, w in part.items()], "bucket string, key string, w array<string>")
+    got = {r.key: r.cluster for r in grouping.average_linkage(frame, "bucket", "key", "w", 0.3).collect()}
+    assert got == {k: c for part in parts for k, c in plain_linkage(part, 0.3).items()}
+
+
 def test_groups_split_and_filled(spark):
     rng = random.Random(6)
     rows = [(i, [rng.random(), rng.random()], "a") for i in range(200)] + [(300 + i, [9.0, 9.0], "b") for i in range(30)] + [(400 + i, [0.5, 0.5 + i], "c") for i in range(3)]
