@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.operators import images, passages
+from foliant.operators import images, matching, passages
 from foliant.plans.tables import table
 
 CODES = ("410", "460", "520", "560")
@@ -134,12 +134,11 @@ def repaired_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 def phrase_matches(spark: SparkSession, folder: str) -> DataFrame:
     """Key phrases of project briefs that segments of other texts hold, most covered first: for each brief the best segment by
-    the share of its phrases, found by equality of the phrases' first six characters."""
+    the share of its phrases."""
     briefs = _projects(spark, folder, "xmjj").select("id", T.key_phrases(F.coalesce("xmjj", F.lit(""))).alias("phrases")).where("size(phrases) > 0").distinct()
-    asked = briefs.select("id", "phrases", F.explode("phrases").alias("phrase")).withColumn("head", F.substring("phrase", 1, 6))
-    segments = table(spark, folder, "match_segments").where("text is not null").select("match_id", "text").distinct()
-    heads = segments.select("match_id", "text", F.explode(F.array_distinct(T.gram_list(F.col("text"), 6))).alias("head"))
-    hit = asked.select("id", "phrases", "phrase", "head").join(heads, "head").where(F.contains("text", "phrase")).select("id", "match_id", "phrase", F.size("phrases").alias("of")).distinct()
+    asked = briefs.select("id", F.size("phrases").alias("of"), F.explode("phrases").alias("phrase"))
+    segments = table(spark, folder, "match_segments").where("text is not null").select(F.col("match_id").alias("key"), "text").distinct()
+    hit = asked.join(matching.contained(asked, segments), "phrase").select("id", F.col("key").alias("match_id"), "phrase", "of").distinct()
     shares = hit.groupBy("id", "match_id", "of").agg(F.count("*").alias("n")).select("id", "match_id", (F.col("n") / F.col("of")).alias("share"))
     best = shares.groupBy("id").agg(F.max_by("match_id", F.struct("share", -F.col("match_id"))).alias("match_id"), F.max("share").alias("share"))
     return best.select("id", "match_id", F.round("share", 6).alias("share"))

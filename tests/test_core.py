@@ -289,6 +289,18 @@ def test_match_by_subject(spark):
     assert got == want
 
 
+def test_phrases_contained(spark):
+    rng = random.Random(31)
+    chars = "甲乙丙丁𠀀"
+    texts = [(i // 2, "".join(rng.choice(chars) for _ in range(rng.choice([0, 5, 6, 40, 200])))) for i in range(60)] + [(None, "甲乙丙丁甲乙丙"), (90, None), (91, "x" * 100)]
+    phrases = sorted({t[a : a + n] for _, t in texts if t for n in (6, 7, 12, 17, 18, 36, 50) for a in (0, 3, len(t) - n) if 0 <= a <= len(t) - n} | {"甲" * 37, "x" * 99})
+    got = matching.contained(spark.createDataFrame([(p,) for p in [*phrases, *phrases[:3], None]], "phrase string"), spark.createDataFrame(texts, "key long, text string"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in got.collect()} == {(k, p) for k, t in texts for p in phrases if t and p in t}
+    assert "Generate" not in plan  # before, each position of a text was a row that held the whole text
+    assert matching.contained(spark.createDataFrame([], "phrase string"), spark.createDataFrame(texts, "key long, text string")).count() == 0
+
+
 def test_streams_equal_batches(spark, tmp_path):
     rows = [(1, "a", 1), (2, "b", 1), (1, "c", 2), (3, None, None)]
     folder = str(tmp_path / "in")
