@@ -1,14 +1,14 @@
-"""New batches against all history: immutable per-batch suffix arrays, stored, searched by the suffixes of later batches.
+"""New batches against all history: immutable per-batch sorted arrays of keys, stored, searched by the keys of later batches.
 
-Positions are sampled by content (a position counts if the hash of its DEPTH folded code points is small enough), so two
-texts that share a stretch sample the same places in it. Of each sampled suffix the first DEPTH code points are kept;
-sorted, the suffixes of a batch form a sparse suffix array truncated at DEPTH, cut into shards by a hash of the suffix.
+A text's keys are made of all its suffixes, by their first 5 folded code points: each key names the MINIMA suffixes that come
+first in as many random orders of all suffixes. Two texts have a key in common with a chance that follows from their overlap
+alone, wherever in them the common suffixes lie; no position is passed over.
 
 A ``History`` is a folder of such arrays, one segment for each batch, in tables bucketed by shard: a new batch is read
 once, its arrays are written, and joined bucket by bucket with the stored ones, which are neither shuffled nor built
-again; no accepted text is read. Segments of like size are merged, so there are logarithmically many. The matches a pair of
-texts has are summed over shards (its coverage). Pairs covered well enough are then compared exactly, for which the
-texts of these pairs, and no others, are fetched.
+again; no accepted text is read. Segments of like size are merged, so there are logarithmically many. The keys a pair of
+texts has in common are summed over shards (its coverage). Pairs covered well enough are then compared exactly, for which
+the texts of these pairs, and no others, are fetched.
 """
 
 from __future__ import annotations
@@ -25,93 +25,51 @@ from pyspark.sql import functions as F
 from foliant.llm.text import U, code_points, fold, gram_hash, pieces, row_of, whole
 from foliant.session import Stash, shared_dir, ship, spread
 
-#: Code points of a suffix that are kept. Texts of at least 65 % common 5-grams share a stretch this long (see README).
-DEPTH = 12
-#: Sampled suffixes of a text: between this many and twice as many of its different ones, all where it has fewer.
-SAMPLES = 24
-#: Texts of up to so many different 5-grams also enter all of them, as a common stretch may be shorter than DEPTH.
-SHORT = 36
-#: Least share of the sampled suffixes that a candidate pair has in common; for texts of up to BRIEF different 5-grams one
-#: is enough.
-COVERAGE, BRIEF = 0.2, 60
+#: Keys of a text, and the orders of suffixes that make one: a pair of overlap x has each key in common with the chance x ** MINIMA.
+KEYS, MINIMA = 72, 3
+#: Least share of its keys that a candidate pair has in common: 4 keys. At an overlap of 65 %, 19.8 are to be expected, and fewer
+#: than 4 come with a chance of 3e-7 (binomial, see README).
+COVERAGE = 4 / 72
 #: Earlier texts taken from one run of equal suffixes at first, and how much more in each further round.
 RUN, RUN_GROWTH = 32, 16
-#: Suffixes in a shard, about, and at most in one stored array; shards at most (Spark's limit on buckets).
+#: Keys in a shard, about, and at most in one stored array; shards at most (Spark's limit on buckets).
 SHARD, SHARDS = 60_000, 100_000
-#: Suffixes that a reading task holds before it hands them on.
+#: Keys that a reading task holds before it hands them on.
 FLUSH = 200_000
 #: New batches that are searched at once, before their segments are merged.
 LOADS = 16
 #: Ids broadcast at most (8 bytes each); beyond, texts are joined by shuffle, and askers go in several blocks.
 BROADCAST_IDS = 1_000_000
-#: Bytes of asking suffixes broadcast at most; beyond, they are shuffled to the shards' buckets.
+#: Bytes of asking keys broadcast at most; beyond, they are shuffled to the shards' buckets.
 BROADCAST_BYTES = 16_000_000
 
-#: Flags beside a text's number of sampled suffixes: at most BRIEF different 5-grams; at most twice as many; in a batch after history.
-IS_BRIEF, NEARLY, ASKS, WEIGHT = 1 << 15, 1 << 14, 1 << 13, (1 << 13) - 1
-KEY = f"S{2 * DEPTH}"
-
-
-def _pack(points: np.ndarray, begins: np.ndarray, size: int) -> np.ndarray:
-    """The first ``size`` code points at each position as big-endian 16-bit units, so that bytes sort as the text does.
-
-    Code points beyond 16 bits are mapped into the private-use area; what that may confuse is told apart by the exact
-    comparison.
-    """
-    out = np.zeros((len(begins), DEPTH), ">u2")
-    for i in range(size):
-        p = points[begins + i]
-        out[:, i] = np.where(p > 0xFFFF, 0xE000 + p % 0x1900, p)
-    return out.view(f"S{2 * DEPTH}").ravel()
-
-
-def _different(high: np.ndarray, bounds: np.ndarray, which: np.ndarray, enough: int | None = None) -> np.ndarray:
-    """How many different hashes each of the rows ``which`` has; with ``enough``, any number above it will do."""
-    out = np.zeros(len(which), np.int64)
-    for n, i in enumerate(which):
-        h = high[bounds[i] : bounds[i + 1]]
-        if enough is not None and len(h) > 8 * enough:
-            head = np.sort(h[: 4 * enough])
-            if (few := 1 + np.count_nonzero(head[1:] != head[:-1])) > enough:
-                out[n] = few
-                continue
-        h = np.sort(h)
-        out[n] = len(h) and 1 + np.count_nonzero(h[1:] != h[:-1])
-    return out
-
-
-def sampled_suffixes(points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, packed suffix), without repeats within a row; and of each row how many different 5-grams it has, or more than 2 × BRIEF.
-
-    How sparsely a text is sampled follows from its different suffixes, not from its length: repeats add none.
-    """
-    sizes = np.diff(bounds)
-    begins = whole(bounds, DEPTH)
-    rows = row_of(bounds)[begins]
-    small = whole(bounds, 5)
-    small_rows = row_of(bounds)[small]
-    grams = _different(gram_hash(points, 5)[small] if len(small) else points[:0], np.searchsorted(small_rows, np.arange(len(sizes) + 1)), np.arange(len(sizes)), 2 * BRIEF)
-    level = np.zeros(len(sizes), np.int64)
-    taken = np.zeros(0, bool)
-    if len(begins):
-        high = gram_hash(points, DEPTH)[begins]
-        many = np.maximum(sizes - DEPTH + 1, 1)
-        long = np.flatnonzero(many >= 2 * SAMPLES)
-        many[long] = _different(high, np.searchsorted(rows, np.arange(len(sizes) + 1)), long)
-        level = np.maximum(np.floor(np.log2(many / SAMPLES)), 0).astype(np.int64)
-        cut = (U(0xFFFFFFFFFFFFFFFF) >> level.astype(U))[rows]
-        taken = high <= cut
-    begins, rows = begins[taken], rows[taken]
-    packed = _pack(points, begins, DEPTH)
-    mine = grams[small_rows] <= SHORT
-    small, small_rows = small[mine], small_rows[mine]
-    rows = np.concatenate([rows, small_rows])
-    packed = np.concatenate([packed, _pack(points, small, 5)])
-    order = np.lexsort((packed, rows))
-    rows, packed = rows[order], packed[order]
-    new = np.ones(len(rows), bool)
-    new[1:] = (rows[1:] != rows[:-1]) | (packed[1:] != packed[:-1])
-    return rows[new], packed[new], grams
+#: Flags beside a text's number of different 5-grams, as far as it is told: in a batch after history.
+ASKS, WEIGHT = 1 << 13, (1 << 13) - 1
+KEY = "S8"
+
+_FACTORS, _SHIFTS = (np.random.default_rng(20).integers(0, 1 << 64, (2, KEYS, MINIMA), U) | np.array([1, 0], U)[:, None, None])
+
+
+def suffix_keys(points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, keys of each row with a sequence of 5); and of every row how many different 5-grams it has."""
+    begins = whole(bounds, 5)
+    grams, rows = gram_hash(points, 5)[begins] if len(begins) else np.zeros(0, U), row_of(bounds)[begins]
+    heads = np.flatnonzero(np.diff(rows, prepend=-1))
+    each = np.sort((rows.astype(U) << U(44)) | (grams >> U(20)))
+    count = np.bincount((each[np.diff(each, prepend=~each[:1]) != 0] >> U(44)).astype(np.int64), minlength=len(bounds) - 1)
+    keys = np.zeros((len(heads), KEYS), ">u8")
+    if len(heads):
+        turned = np.empty_like(grams)
+        with np.errstate(over="ignore"):
+            for i in range(KEYS):
+                key = np.full(len(heads), i, U)
+                for j in range(MINIMA):
+                    np.bitwise_xor(grams, _SHIFTS[i, j], out=turned)
+                    np.multiply(turned, _FACTORS[i, j], out=turned)
+                    key = key * U(0x9E3779B97F4A7C15) ^ np.minimum.reduceat(turned, heads)
+                    key ^= key >> U(31)
+                keys[:, i] = key
+    return rows[heads], keys, count
 
 
 _SEGMENT = "shard int, kind int, doc_id long, batch int, d1 long, d2 long, low binary, high binary, k binary, docs binary, d1s binary, flags binary"
@@ -127,15 +85,15 @@ def _rows(kind: int, size: int, **columns) -> pa.RecordBatch:
 
 
 def _shard_of(k: np.ndarray, shards: int) -> np.ndarray:
-    words = np.frombuffer(k.tobytes(), np.uint64).reshape(-1, DEPTH // 4)
+    words = np.frombuffer(k.tobytes(), np.uint64)
     with np.errstate(over="ignore"):
-        mixed = (words * np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], U)).sum(1, dtype=U)
+        mixed = words * U(0x9E3779B97F4A7C15)
         mixed = (mixed ^ (mixed >> U(32))) * U(0xBF58476D1CE4E5B9)
     return ((mixed >> U(33)) % U(shards)).astype(np.int32)
 
 
 def _by_shard(parts: list[tuple[np.ndarray, ...]], shards: int) -> pa.RecordBatch:
-    """Suffixes as one row of arrays for each shard, so that a shuffle moves a few long rows."""
+    """Keys as one row of arrays for each shard, so that a shuffle moves a few long rows."""
     k, doc, d1, flag = (np.concatenate(x) for x in zip(*parts, strict=True))
     shard = _shard_of(k, shards)
     order = np.argsort(shard, kind="stable")
@@ -151,16 +109,15 @@ def _digests(points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def _read(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row for each text with a sequence of 5; suffixes of each different text of this partition: copies collapse here."""
+        """One row for each text with a sequence of 5; keys of each different text of this partition: copies collapse here."""
         known: dict[int, tuple[int, int]] = {}
         parts, held = [], 0
-        for batch in pieces(batches, "text", 500_000):
+        for batch in pieces(batches, "text", 200_000):
             points, bounds = fold(*code_points(batch.column("text")))
-            rows, packed, grams = sampled_suffixes(points, bounds)
-            weight = np.bincount(rows, minlength=batch.num_rows)
+            rows, keys, grams = suffix_keys(points, bounds)
             doc, number = (batch.column(c).to_numpy() for c in ("doc_id", "batch"))
             asks = number >= 1
-            flag = (np.minimum(weight, WEIGHT) | np.where(grams <= BRIEF, IS_BRIEF, 0) | np.where(grams <= 2 * BRIEF, NEARLY, 0) | np.where(asks, ASKS, 0)).astype(np.uint16)
+            flag = (np.minimum(grams, WEIGHT) | np.where(asks, ASKS, 0)).astype(np.uint16)
             digest = _digests(points, bounds)
             has = np.diff(bounds) >= 5
             fresh = np.zeros(batch.num_rows, bool)
@@ -173,8 +130,8 @@ def _read(shards: int):
             at = np.flatnonzero(has)
             yield _rows(TEXT, len(at), shard=(digest[at, 0] % shards).astype(np.int32), doc_id=doc[at], batch=number[at], d1=digest[at, 0], d2=digest[at, 1])
             take = fresh[rows]
-            rows = rows[take]
-            parts.append((packed[take], doc[rows].astype(np.int64), digest[rows, 0], flag[rows]))
+            rows = np.repeat(rows[take], KEYS)
+            parts.append((keys[take].view(KEY).ravel(), doc[rows].astype(np.int64), digest[rows, 0], flag[rows]))
             held += len(rows)
             if held >= FLUSH:
                 yield _by_shard(parts, shards)
@@ -186,9 +143,8 @@ def _read(shards: int):
 
 
 def _settled(k: np.ndarray, doc: np.ndarray, d1: np.ndarray, flag: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sorted by suffix, then document; each text once at a suffix, by its smallest document."""
-    words = k.view(">u8").reshape(-1, DEPTH // 4).astype(U).T[::-1]
-    order = np.lexsort((doc, d1, *words))
+    """Sorted by key, then document; each text once at a key, by its smallest document."""
+    order = np.lexsort((doc, d1, k.view(">u8").astype(U)))
     k, doc, d1, flag = k[order], doc[order], d1[order], flag[order]
     new = np.ones(len(k), bool)
     new[1:] = (k[1:] != k[:-1]) | (d1[1:] != d1[:-1])
@@ -208,10 +164,10 @@ def _blobs(table: pa.Table) -> tuple[np.ndarray, ...]:
 
 
 def _arrays(shard: int, k: np.ndarray, doc: np.ndarray, d1: np.ndarray, flag: np.ndarray, kind: int = ARRAY) -> pa.RecordBatch:
-    """Sorted suffixes in rows of at most SHARD."""
+    """Sorted keys in rows of at most SHARD."""
     starts = np.arange(0, len(k), SHARD)
     cut = lambda x: [x[a : a + SHARD].tobytes() for a in starts]
-    full = k.view(f"V{2 * DEPTH}")
+    full = k.view("V8")
     return _rows(kind, len(starts), shard=np.full(len(starts), shard, np.int32), low=[full[a].tobytes() for a in starts], high=[full[min(a + SHARD, len(k)) - 1].tobytes() for a in starts], k=cut(k), docs=cut(doc), d1s=cut(d1), flags=cut(flag))
 
 
@@ -225,10 +181,10 @@ def _built(table: pa.Table) -> pa.Table:
 
 
 class Segment:
-    """A sorted array of suffixes, never changed; within equal suffixes the smallest document comes first."""
+    """A sorted array of keys, never changed; within equal keys the smallest document comes first."""
 
     def __init__(self, k: np.ndarray, doc: np.ndarray, ref: np.ndarray):
-        order = np.lexsort((doc, *k.astype(KEY).view(">u8").reshape(-1, DEPTH // 4).astype(U).T[::-1]))
+        order = np.lexsort((doc, k.astype(KEY).view(">u8").astype(U)))
         self.k, self.doc, self.ref = k[order], doc[order], ref[order]
 
     def __len__(self) -> int:
@@ -249,13 +205,14 @@ def add_segment(segments: list, fresh) -> list:
     return [*segments, fresh]
 
 
-_SEEN = "qa long, ea long, qdoc long, edoc long, hits int, least int, brief boolean, upto long, shard int, k binary"
-_SEEN_ARROW = pa.schema([("qa", pa.int64()), ("ea", pa.int64()), ("qdoc", pa.int64()), ("edoc", pa.int64()), ("hits", pa.int32()), ("least", pa.int32()), ("brief", pa.bool_()), ("upto", pa.int64()), ("shard", pa.int32()), ("k", pa.binary())])
+_SEEN = "qa long, ea long, qdoc long, edoc long, hits int, weight int, upto long, shard int, k binary"
+_SEEN_ARROW = pa.schema([("qa", pa.int64()), ("ea", pa.int64()), ("qdoc", pa.int64()), ("edoc", pa.int64()), ("hits", pa.int32()), ("weight", pa.int32()), ("upto", pa.int64()), ("shard", pa.int32()), ("k", pa.binary())])
 
 
-def _meet(shard: int, q: tuple[np.ndarray, ...], e: tuple[np.ndarray, ...], first: int, last: int) -> Iterator[pa.RecordBatch]:
-    """The suffixes of q that ask, binary-searched in the sorted array e: of each run of equal ones the documents at the
-    places from ``first`` to ``last`` that are smaller than the asker. Rows with ea null tell that smaller ones may follow."""
+def _meet(shard: int, q: tuple[np.ndarray, ...], e: tuple[np.ndarray, ...], first: int, last: int, least: float) -> Iterator[pa.RecordBatch]:
+    """The keys of q that ask, binary-searched in the sorted array e: of each run of equal ones the documents at the
+    places from ``first`` to ``last`` that are smaller than the asker and not so much shorter or longer that the overlap
+    can't reach ``least``. Rows with ea null tell that smaller ones may follow."""
     qk, qdoc, qd1, qflag = q
     ek, edoc, ed1, eflag = e
     who = np.flatnonzero(qflag & ASKS)
@@ -268,7 +225,8 @@ def _meet(shard: int, q: tuple[np.ndarray, ...], e: tuple[np.ndarray, ...], firs
     size = hi - lo
     asker = np.repeat(who, size)
     hit = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-    ok = (edoc[hit] < qdoc[asker]) & (ed1[hit] != qd1[asker])
+    na, nb = (qflag[asker] & WEIGHT).astype(np.int64), (eflag[hit] & WEIGHT).astype(np.int64)
+    ok = (edoc[hit] < qdoc[asker]) & (ed1[hit] != qd1[asker]) & (np.minimum(na, nb) + 1 >= least * np.maximum(na, nb))
     asker, hit = asker[ok], hit[ok]
     order = np.lexsort((ed1[hit], qd1[asker]))
     asker, hit = asker[order], hit[order]
@@ -277,21 +235,20 @@ def _meet(shard: int, q: tuple[np.ndarray, ...], e: tuple[np.ndarray, ...], firs
     heads = np.flatnonzero(new)
     count = np.diff(np.append(heads, len(asker))).astype(np.int32)
     asker, hit = asker[heads], hit[heads]
-    fa, fe = qflag[asker], eflag[hit]
     n = len(asker)
     if n:
-        yield pa.record_batch([pa.array(qd1[asker]), pa.array(ed1[hit]), pa.array(qdoc[asker]), pa.array(edoc[hit]), pa.array(count), pa.array(np.minimum(fa & WEIGHT, fe & WEIGHT).astype(np.int32)), pa.array(((fa | fe) & IS_BRIEF) > 0), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=_SEEN_ARROW)
+        yield pa.record_batch([pa.array(qd1[asker]), pa.array(ed1[hit]), pa.array(qdoc[asker]), pa.array(edoc[hit]), pa.array(count), pa.array((qflag[asker] & WEIGHT).astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=_SEEN_ARROW)
     n, cut = len(cut), who[cut]
     if n:
-        full = qk.view(f"V{2 * DEPTH}")
-        yield pa.record_batch([pa.array(qd1[cut]), pa.nulls(n, pa.int64()), pa.array(qdoc[cut]), pa.nulls(n, pa.int64()), pa.array(np.ones(n, np.int32)), pa.array((qflag[cut] & WEIGHT).astype(np.int32)), pa.array((qflag[cut] & NEARLY) > 0), pa.array(upto), pa.array(np.full(n, shard, np.int32)), pa.array([full[i].tobytes() for i in cut], pa.binary())], schema=_SEEN_ARROW)
+        full = qk.view("V8")
+        yield pa.record_batch([pa.array(qd1[cut]), pa.nulls(n, pa.int64()), pa.array(qdoc[cut]), pa.nulls(n, pa.int64()), pa.array(np.ones(n, np.int32)), pa.array((qflag[cut] & WEIGHT).astype(np.int32)), pa.array(upto), pa.array(np.full(n, shard, np.int32)), pa.array([full[i].tobytes() for i in cut], pa.binary())], schema=_SEEN_ARROW)
 
 
 def _sides(table: pa.Table, row: int) -> tuple[np.ndarray, ...]:
     return tuple(np.frombuffer(table.column(c)[row].as_buffer(), kind) for c, kind in (("k", KEY), ("docs", np.int64), ("d1s", np.int64), ("flags", np.uint16)))
 
 
-def _search(first: int, last: int):
+def _search(first: int, last: int, least: float):
     def one(table: pa.Table) -> pa.Table:
         """All arrays of a shard: those of new segments are searched in all, or those that ``asked`` in each."""
         shard, out = table.column("shard")[0].as_py(), []
@@ -302,7 +259,7 @@ def _search(first: int, last: int):
                 a, b = asked.column("low")[i].as_py(), asked.column("high")[i].as_py()
                 for j in range(table.num_rows):
                     if a <= high[j] and b >= low[j]:
-                        out += _meet(shard, _sides(asked, i), _sides(table, j), first, last)
+                        out += _meet(shard, _sides(asked, i), _sides(table, j), first, last, least)
             return pa.Table.from_batches(out, _SEEN_ARROW)
         asks = table.column("asks").to_numpy(zero_copy_only=False)
         for i in np.flatnonzero(asks).tolist():
@@ -310,9 +267,9 @@ def _search(first: int, last: int):
             for j in range(table.num_rows):
                 if low[i] <= high[j] and high[i] >= low[j]:
                     e = _sides(table, j)
-                    out += _meet(shard, q, e, first, last)
+                    out += _meet(shard, q, e, first, last, least)
                     if not asks[j] and q[1].min() < e[1].max():  # accepted texts that ask may repeat a smaller new one
-                        out += _meet(shard, e, q, first, last)
+                        out += _meet(shard, e, q, first, last, least)
         return pa.Table.from_batches(out, _SEEN_ARROW)
 
     return one
@@ -323,12 +280,12 @@ class History:
 
     ``add`` accepts a batch, ``search`` tells what the texts of new batches may repeat, ``compact`` merges segments, and
     ``texts`` lists all accepted texts. A folder written before is opened again by its path. ``shards`` is fixed when the
-    folder is begun: suffixes expected, over SHARD.
+    folder is begun: keys expected, over SHARD. ``least``: the overlap that is asked for; what can't reach it by its size isn't met.
     """
 
-    def __init__(self, spark: SparkSession, root: str, shards: int):
+    def __init__(self, spark: SparkSession, root: str, shards: int, least: float = 0.0):
         ship(spark)
-        self.spark, self.root, self.name = spark, root.rstrip("/"), f"foliant_{uuid.uuid4().hex}"
+        self.least, self.spark, self.root, self.name = least, spark, root.rstrip("/"), f"foliant_{uuid.uuid4().hex}"
         here = self._path()
         self.files = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self.files.mkdirs(here)
@@ -376,12 +333,12 @@ class History:
         return done
 
     def search(self, fresh: list[Stored], stash: Stash) -> DataFrame:
-        """What the suffixes of new segments met in all others and in themselves. Bucket by bucket: nothing is shuffled."""
+        """What the keys of new segments met in all others and in themselves. Bucket by bucket: nothing is shuffled."""
         rows = self._rows(self.segments).where(F.col("kind") == ARRAY)
         return self._met(rows.select(*_ARRAYS, F.col("segment").isin([s.name for s in fresh]).alias("asks")), 0, RUN, stash)
 
     def ask_again(self, cuts: DataFrame, first: int, last: int, stash: Stash) -> DataFrame:
-        """(qa, qdoc, least, brief, shard, k) of suffixes whose runs were cut, qdoc being what is looked below: the places from first to last."""
+        """(qa, qdoc, weight, shard, k) of keys whose runs were cut, qdoc being what is looked below: the places from first to last."""
         packed = cuts.repartition(self.shards, "shard").groupBy("shard").applyInArrow(_asked, _SEGMENT)
         asked = stash.keep(packed.groupBy("shard").agg(F.collect_list(F.struct(*_ARRAYS[1:])).alias("asked")), "asked")
         rows = self._rows(self.segments).where(F.col("kind") == ARRAY).select(*_ARRAYS)
@@ -390,7 +347,7 @@ class History:
         return self._met(joined.select(*_ARRAYS, "asked"), first, last, stash)
 
     def _met(self, rows: DataFrame, first: int, last: int, stash: Stash) -> DataFrame:
-        return stash.keep(rows.groupBy("shard").applyInArrow(_search(first, last), _SEEN), "met")
+        return stash.keep(rows.groupBy("shard").applyInArrow(_search(first, last, self.least), _SEEN), "met")
 
     def compact(self) -> None:
         """While the last segment but one is under twice the size of the last, the two become one."""
@@ -412,7 +369,7 @@ class History:
 
 
 class Stored:
-    """A segment in the history's folder: batches first to last, how many suffixes they have, in how many shards. Merging
+    """A segment in the history's folder: batches first to last, how many keys they have, in how many shards. Merging
     only notes the parts."""
 
     def __init__(self, first: int, last: int, size: int, shards: int, parts: tuple[Stored, ...] = ()):
@@ -434,7 +391,7 @@ _ARRAYS = ("shard", "low", "high", "k", "docs", "d1s", "flags")
 
 def _asked(table: pa.Table) -> pa.Table:
     k = np.frombuffer(b"".join(table.column("k").to_pylist()), KEY)
-    flag = np.minimum(table.column("least").to_numpy(), WEIGHT) | np.where(table.column("brief").to_numpy(zero_copy_only=False), NEARLY, 0) | ASKS
+    flag = table.column("weight").to_numpy() | ASKS
     return pa.Table.from_batches([_arrays(table.column("shard")[0].as_py(), *_settled(k, table.column("qdoc").to_numpy(), table.column("qa").to_numpy(), flag.astype(np.uint16)))])
 
 
@@ -447,7 +404,7 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _overlap(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(pieces(batches, "ta"), "tb"):
+        for batch in pieces(pieces(batches, "ta", 250_000), "tb", 250_000):
             sets = []
             for name in ("ta", "tb"):
                 points, bounds = code_points(batch.column(name))
@@ -489,23 +446,24 @@ def _verified(corpus: DataFrame, pairs: DataFrame, least: float, stash: Stash) -
     return good
 
 
+def _need() -> int:
+    return max(1, round(KEYS * COVERAGE))
+
+
 def _summed(seen: DataFrame) -> DataFrame:
-    """Pairs with all their hits, and how many are needed."""
-    out = seen.groupBy("qa", "ea").agg(F.sum("hits").alias("hits"), F.min("least").alias("least"), F.max("brief").alias("brief"), F.min("qdoc").alias("qdoc"), F.min("edoc").alias("edoc"))
-    return out.withColumn("need", F.when(F.col("brief"), 1).otherwise(F.greatest(F.lit(1), F.floor(F.col("least") * COVERAGE))))
+    """Pairs with all their hits."""
+    return seen.groupBy("qa", "ea").agg(F.sum("hits").cast("int").alias("hits"), F.min("qdoc").alias("qdoc"), F.min("edoc").alias("edoc"))
 
 
 def _hidden(cuts: DataFrame) -> DataFrame:
-    """(qa, cut, enough): how many cut runs may hide something from an asker, and from how many on a pair of which nothing
-    was seen could be one. Of two like texts the one sampled less has at least half the other's suffixes."""
-    enough = F.when(F.max("brief"), 1).otherwise(F.greatest(F.lit(1), F.floor(F.min("least") * COVERAGE / 2)))
-    return cuts.groupBy("qa").agg(F.count("*").alias("cut"), enough.alias("enough"))
+    """(qa, cut): how many cut runs may hide something from an asker."""
+    return cuts.groupBy("qa").agg(F.count("*").alias("cut"))
 
 
 def confirmed(history: History, corpus: DataFrame, met: list[DataFrame], least: float, stash: Stash) -> DataFrame:
     """(qa, ea, overlap) of all pairs of texts that reach ``least``, from what batches met when they were accepted.
 
-    A pair is compared if its hits, with those that cut runs may hide, reach its need. Where cut runs alone could reach it, the
+    A pair is compared if its hits, with those that cut runs may hide, reach what is needed. Where cut runs alone could reach it, the
     asker reads on in them, below the smallest document that it repeats so far, until none is left.
     """
     seen = met[0]
@@ -513,11 +471,11 @@ def confirmed(history: History, corpus: DataFrame, met: list[DataFrame], least:
         seen = seen.unionByName(part)
     pairs = _summed(seen.where("ea is not null"))
     cuts = seen.where("ea is null").drop("ea", "edoc", "hits")
-    hidden = stash.keep(_hidden(cuts), "hidden")
-    reached = (F.col("hits") >= F.col("need")) | (F.col("cut") < F.col("enough")) & (F.col("hits") + F.col("cut") >= F.col("need"))
+    hidden, need = stash.keep(_hidden(cuts), "hidden"), _need()
+    reached = (F.col("hits") >= need) | (F.col("cut") < need) & (F.col("hits") + F.col("cut") >= need)
     chosen = stash.keep(pairs.join(hidden, "qa", "left").where(reached).select("qa", "ea", "qdoc", "edoc"), "pairs")
     good = _verified(corpus, chosen, least, stash)
-    asking = hidden.where("cut >= enough").select("qa")
+    asking = hidden.where(F.col("cut") >= need).select("qa")
     if not asking.take(1):
         return good
     lowest = stash.keep(history.texts().groupBy("d1").agg(F.min("doc_id").alias("low")), "lowest")
@@ -527,15 +485,15 @@ def confirmed(history: History, corpus: DataFrame, met: list[DataFrame], least:
     while True:
         best = good.join(lowest.withColumnRenamed("d1", "ea"), "ea").groupBy("qa").agg(F.min("low").alias("best"))
         left = cuts.join(best, "qa", "left").withColumn("below", F.coalesce("best", "qdoc")).where("upto < below")
-        left = stash.keep(left.select("qa", F.col("below").alias("qdoc"), "least", "brief", "upto", "shard", "k"), "left")
+        left = stash.keep(left.select("qa", F.col("below").alias("qdoc"), "weight", "upto", "shard", "k"), "left")
         hidden = stash.keep(_hidden(left), "hidden")
-        asking = hidden.where("cut >= enough").select("qa")
+        asking = hidden.where(F.col("cut") >= need).select("qa")
         more: DataFrame | None = None
         if asking.take(1):
-            again = left.join(asking, "qa", "left_semi").groupBy("qa", "shard", "k").agg(F.min("qdoc").alias("qdoc"), F.min("least").alias("least"), F.max("brief").alias("brief"))
+            again = left.join(asking, "qa", "left_semi").groupBy("qa", "shard", "k").agg(F.min("qdoc").alias("qdoc"), F.min("weight").alias("weight"))
             more = history.ask_again(again, run, run * RUN_GROWTH, stash)
             run *= RUN_GROWTH
-            columns = ("qa", "ea", "qdoc", "edoc", "hits", "least", "brief")
+            columns = ("qa", "ea", "qdoc", "edoc", "hits")
             known = stash.keep(_summed(known.select(*columns).unionByName(more.where("ea is not null").select(*columns))), "known")
             cuts = stash.keep(more.where("ea is null").drop("ea", "edoc", "hits").unionByName(left.join(asking, "qa", "left_anti"), allowMissingColumns=True), "cuts")
             hidden = stash.keep(_hidden(cuts), "hidden")
@@ -556,14 +514,14 @@ def repeated_texts(documents: DataFrame, least: float = 0.65, doc_id: str = "doc
     accepted batches may be given, with documents that hold the new batches and, for their candidates' texts, the old
     ones. Texts that fold to the same characters count as one from the start, so copies cost nothing. A null batch is
     history (0); null, empty and symbol-only texts are no cases; a doc_id that comes more than once counts once for each
-    different text. Runs of equal suffixes longer than RUN are read RUN smallest documents at a time; documents for which
+    different text. Runs of equal keys longer than RUN are read RUN smallest documents at a time; documents for which
     that could hide a pair ask again, further on, until none is left, so nothing is capped.
     """
     spark = documents.sparkSession
     stash = stash or Stash(spark)
     source = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.greatest(F.coalesce(F.col(batch).cast("int"), F.lit(0)), F.lit(0)).alias("batch"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
     sizes = {r.batch: r.n for r in source.groupBy("batch").agg(F.count("*").alias("n")).collect()}
-    history = History(spark, folder or f"{shared_dir(spark)}/foliant-history-{uuid.uuid4().hex}", max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(sizes.values()) * 3 * SAMPLES // (2 * SHARD))))
+    history = History(spark, folder or f"{shared_dir(spark)}/foliant-history-{uuid.uuid4().hex}", max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(sizes.values()) * KEYS // SHARD)), least)
     accepted = {r.batch for r in history.texts().select("batch").distinct().collect()} if history.segments else set()
     met, fresh = [], []
     numbers = sorted(set(sizes) - accepted)

@@ -294,6 +294,34 @@ def test_repeated_passages_in_texts(spark):
     assert got == plain_repeats(rows)
 
 
+def test_overlap_without_long_common_stretches(spark):
+    rng = random.Random(33)
+    # few characters in any order: the same sequences of 5, hardly a common stretch of 12
+    rows = [(i, i % 3, "".join(rng.choice("ACGT"[: 3 + i % 2]) for _ in range(3000))) for i in range(16)]
+    # sequences of 5 shuffled whole: 4 new ones at each joint
+    for i in range(16, 40, 2):
+        parts = ["".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(24)) for _ in range(rng.choice([3, 10, 40]))]
+        rows += [(i, 0, "".join(parts)), (i + 1, 2, "".join(rng.sample(parts, len(parts))))]
+    got = {r.doc_id: r.dup_of for r in increment.repeated_texts(spark.createDataFrame(rows, "doc_id long, batch_no int, text string")).collect()}
+    assert got == plain_repeats(rows) and len(got) > 15
+
+
+def test_keys_in_common():
+    rng = random.Random(34)
+    hits = []
+    for _ in range(400):  # 430 of 655 sequences in common, edits spread evenly
+        a = [chr(0x4E00 + rng.randrange(20000)) for _ in range(566)]
+        b = ["改" if i % 25 == 12 else c for i, c in enumerate(a)]
+        grams = [{"".join(x[i : i + 5]) for i in range(len(x) - 4)} for x in (a, b)]
+        points = np.array([ord(c) for c in a + b], np.uint32)
+        rows, keys, count = increment.suffix_keys(points, np.array([0, len(a), len(a) + len(b)]))
+        assert rows.tolist() == [0, 1] and count.tolist() == [len(g) for g in grams]
+        hits.append((int((keys[0] == keys[1]).sum()), len(grams[0] & grams[1]) / len(grams[0] | grams[1])))
+    expected = increment.KEYS * sum(x**increment.MINIMA for _, x in hits) / len(hits)
+    assert abs(sum(n for n, _ in hits) / len(hits) - expected) < 0.05 * expected
+    assert min(n for n, _ in hits) >= increment.KEYS * increment.COVERAGE
+
+
 def test_few_cut_suffixes_are_asked_for(spark, monkeypatch):
     monkeypatch.setattr(increment, "RUN", 2)
     monkeypatch.setattr(increment, "COVERAGE", 0.9)  # 30 % of the pair's suffixes are in cut runs, 70 % aren't
