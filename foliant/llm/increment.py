@@ -32,8 +32,10 @@ KEYS, MINIMA = 72, 3
 COVERAGE = 4 / 72
 #: Earlier texts taken from one run of equal suffixes at first, and how much more in each further round.
 RUN, RUN_GROWTH = 32, 16
-#: Keys in a shard, about, and at most in one stored array; shards at most (Spark's limit on buckets).
-SHARD, SHARDS = 60_000, 100_000
+#: Keys in a shard, about, and at most in one stored array (26 bytes each); shards at most (Spark's limit on buckets). Each batch
+#: writes a file for each shard, and on a local file system without Hadoop's native library the executor forks for each file,
+#: which counts its memory twice for a moment: so shards aren't made small.
+SHARD, SHARDS = 400_000, 100_000
 #: Keys that a reading task holds before it hands them on.
 FLUSH = 200_000
 #: New batches that are searched at once, before their segments are merged.
@@ -84,6 +86,11 @@ def _rows(kind: int, size: int, **columns) -> pa.RecordBatch:
     return pa.record_batch([pa.array(given[f.name], f.type) if f.name in given else pa.nulls(size, f.type) for f in _ARROW], schema=_ARROW)
 
 
+def shards_for(texts: int, least: int) -> int:
+    """In how many shards the keys of so many texts are kept."""
+    return max(least, -(-texts * KEYS // SHARD))
+
+
 def _shard_of(k: np.ndarray, shards: int) -> np.ndarray:
     words = np.frombuffer(k.tobytes(), np.uint64)
     with np.errstate(over="ignore"):
@@ -521,7 +528,7 @@ def repeated_texts(documents: DataFrame, least: float = 0.65, doc_id: str = "doc
     stash = stash or Stash(spark)
     source = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.greatest(F.coalesce(F.col(batch).cast("int"), F.lit(0)), F.lit(0)).alias("batch"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
     sizes = {r.batch: r.n for r in source.groupBy("batch").agg(F.count("*").alias("n")).collect()}
-    history = History(spark, folder or f"{shared_dir(spark)}/foliant-history-{uuid.uuid4().hex}", max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(sizes.values()) * KEYS // SHARD)), least)
+    history = History(spark, folder or f"{shared_dir(spark)}/foliant-history-{uuid.uuid4().hex}", shards_for(sum(sizes.values()), int(spark.conf.get("spark.sql.shuffle.partitions"))), least)
     accepted = {r.batch for r in history.texts().select("batch").distinct().collect()} if history.segments else set()
     met, fresh = [], []
     numbers = sorted(set(sizes) - accepted)

@@ -294,6 +294,12 @@ def test_repeated_passages_in_texts(spark):
     assert got == plain_repeats(rows)
 
 
+def test_shards_are_few_and_bounded():
+    # each shard is a file of each batch, for which an executor may fork; and a task holds one
+    assert increment.shards_for(100_000, 12) <= 18 and increment.shards_for(4_500_000, 620) < 1_000
+    assert increment.SHARD * 26 < 16e6 and increment.shards_for(5, 12) == 12
+
+
 def test_overlap_without_long_common_stretches(spark):
     rng = random.Random(33)
     # few characters in any order: the same sequences of 5, hardly a common stretch of 12
