@@ -33,8 +33,8 @@ COVERAGE = 4 / 72
 #: Earlier texts taken from one run of equal suffixes at first, and how much more in each further round.
 RUN, RUN_GROWTH = 32, 16
 #: Keys in a shard, about, and at most in one stored array (26 bytes each); shards at most (Spark's limit on buckets). Each batch
-#: writes a file for each shard, and on a local file system without Hadoop's native library the executor forks for each file,
-#: which counts its memory twice for a moment: so shards aren't made small.
+#: writes a file for each shard, and executors were seen to fork (for a local file's mode, most likely), which counts their memory
+#: twice for a moment: so shards aren't made small.
 SHARD, SHARDS = 400_000, 100_000
 #: Keys that a reading task holds before it hands them on.
 FLUSH = 200_000
